@@ -11,3 +11,4 @@ register("p3_file_report", PS.file_report_sql())(lambda s, d: PS.passage_file_re
 register("p4_overall_report", PS.overall_sql())(lambda s, d: PS.passage_overall_report(s, d))
 from copyhound.plans import admission  # noqa: E402,F401
 from copyhound.plans import normalization  # noqa: E402,F401
+from copyhound.plans import blocks_q  # noqa: E402,F401
