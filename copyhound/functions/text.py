@@ -159,5 +159,13 @@ def char_grams(text, k: int) -> Column:
         lambda x, i: x.substr(i + 1, F.lit(k))))
 
 
+# FIXED VALUE: a code token is an identifier/number or one other non-space character
+CODE_TOKEN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
+
+
+def code_tokens(normalized) -> Column:
+    return F.regexp_extract_all(_c(normalized), F.lit(CODE_TOKEN), F.lit(0))
+
+
 def gram_count(n_units, k: int) -> Column:
     return F.greatest(_c(n_units) - k + 1, F.lit(0))

@@ -28,10 +28,10 @@ JAVA_METHOD = (r"(?:public|private|protected)?\s*(?:static)?\s*(?:final)?\s*(?:[
                rf"({_ID})\s*\([^)]*\)\s*(?:throws\s+[a-zA-Z0-9_,\s]+)?\s*{_BODY}")
 JAVA_CLASS = (rf"(?:public|private|protected)?\s*(?:static)?\s*class\s+({_ID})\s*(?:extends\s+{_ID}\s*)?"
               rf"(?:implements\s+[a-zA-Z0-9_,\s]+\s*)?\{{([^}}]*)\}}")
-# C head in linear form: the name and what follows it (the modifier words before
-# the name are not part of the block text; the unbounded word run overflows the JVM stack)
-C_FUNCTION = rf"\b([a-zA-Z_][a-zA-Z0-9_]*+)\s*\([^)]*\)\s*{_BODY}"
-C_FUNCTION_RE2 = rf"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*{_BODY}"
+# C head: the unbounded run of type/modifier words before the name overflows the
+# JVM regex stack on long prose, so the run is bounded to 6 words (possessive atoms)
+C_FUNCTION = rf"(?:[a-zA-Z_][a-zA-Z0-9_]*+\s++){{0,6}}([a-zA-Z_][a-zA-Z0-9_]*+)\s*\([^)]*\)\s*{_BODY}"
+C_FUNCTION_RE2 = rf"(?:[a-zA-Z_][a-zA-Z0-9_]*\s+){{0,6}}([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*{_BODY}"
 CPP_CLASS = rf"class\s+({_ID})\s*(?::\s*(?:public|private|protected)\s+{_ID}\s*)?{_BODY}"
 CSHARP_METHOD = (r"(?:public|private|protected|internal)?\s*(?:static)?\s*(?:virtual|override)?\s*"
                  r"(?:[a-zA-Z_][a-zA-Z0-9_<>\[\]]*\s+)?"

@@ -30,6 +30,8 @@ def gram_array(text: Column, k: int, unit: str) -> Column:
         return T.word_grams(T.words(text), k)
     if unit == "char":
         return T.char_grams(text, k)
+    if unit == "token":
+        return T.word_grams(T.code_tokens(text), k)
     raise ValueError(unit)
 
 
@@ -123,3 +125,29 @@ def structure_similarity(a, b, language) -> Column:
 
 def hybrid_score(text_sim, struct_sim) -> Column:
     return T._c(text_sim) * C.TEXT_WEIGHT + T._c(struct_sim) * C.STRUCTURE_WEIGHT
+
+
+def pair_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                    left_text: str = "norm", right_text: str = "norm", k: int = 3, unit: str = "char") -> DataFrame:
+    """X1 for given candidate pairs (R9 output): the left k-gram profile is joined to
+    the pairs by key, then to the right profile on (right key, gram). Pairs without a
+    shared gram get 0. Returns pairs + shared, left_grams, right_grams, similarity."""
+    lp = gram_profile(left, left_key, left_text, k, unit, "c1", "left_grams")
+    rp = gram_profile(right, right_key, right_text, k, unit, "c2", "right_grams")
+    keys = pairs.select(left_key, right_key).dropDuplicates()
+    shared = (keys.join(lp, left_key).join(rp, [right_key, "h"])
+              .groupBy(left_key, right_key).agg(F.sum(F.least("c1", "c2")).cast("long").alias("shared")))
+    lt = left.select(left_key, gram_hashes(F.col(left_text), k, unit)["n"].alias("left_grams"))
+    rt = right.select(right_key, gram_hashes(F.col(right_text), k, unit)["n"].alias("right_grams"))
+    out = (pairs.join(shared, [left_key, right_key], "left").join(lt, left_key).join(rt, right_key)
+           .withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long")))
+    tot = F.col("left_grams") + F.col("right_grams")
+    return out.withColumn("similarity", F.when(tot > 0, 2 * F.col("shared") / tot).otherwise(F.lit(0.0)))
+
+
+def best_block_match(scored: DataFrame, key_cols, score: str = "similarity", tiebreak: str = "cblock_rank") -> DataFrame:
+    """Per (query block, candidate file) the best candidate block; the first in
+    candidate rank order wins ties."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*key_cols).orderBy(F.col(score).desc(), F.col(tiebreak).asc())
+    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

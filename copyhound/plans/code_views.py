@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyhound.sources.tables import read_table
+from copyhound.sources.tables import read_table, spread
 
 NL = "chr(10)"
 ID = "replace(p_name, ' ', '_')"
@@ -65,7 +65,7 @@ FILES_TEXT_SQL = (
 
 def code_files(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
     """One row per (part, language): file_id, path, language, code."""
-    p = read_table(spark, sf_dir, "part")
+    p = spread(read_table(spark, sf_dir, "part"), "p_partkey")
     frames = []
     for lang in (langs or LANGS):
         frames.append(p.selectExpr(

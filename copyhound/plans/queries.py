@@ -12,3 +12,4 @@ register("p4_overall_report", PS.overall_sql())(lambda s, d: PS.passage_overall_
 from copyhound.plans import admission  # noqa: E402,F401
 from copyhound.plans import normalization  # noqa: E402,F401
 from copyhound.plans import blocks_q  # noqa: E402,F401
+from copyhound.plans import code_check_q  # noqa: E402,F401
