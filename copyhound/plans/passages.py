@@ -35,7 +35,20 @@ def passage_pairs(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 def copied_passages(spark: SparkSession, sf_dir: str, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
     """Flagship: per document the best ``top_code`` passages at or above the floor."""
-    pairs = R.match_floor(passage_pairs(spark, sf_dir, cfg.gram_k), "code", floor=cfg.code_floor)
+    return copied_from_pairs(passage_pairs(spark, sf_dir, cfg.gram_k), cfg)
+
+
+def copied_from(docs: DataFrame, passages: DataFrame, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
+    """The flagship over given frames (documents: doc_id, text; passages: item_id, text)."""
+    d = docs.select("doc_id", T.normalize_generic("text").alias("norm"))
+    b = passages.select("item_id", T.normalize_generic("text").alias("norm"))
+    pairs = gram_similarity(d, b, "doc_id", "item_id", k=cfg.gram_k, unit="word")
+    pairs = pairs.withColumnRenamed("left_grams", "doc_grams").withColumnRenamed("right_grams", "item_grams")
+    return copied_from_pairs(pairs, cfg)
+
+
+def copied_from_pairs(pairs: DataFrame, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
+    pairs = R.match_floor(pairs, "code", floor=cfg.code_floor)
     top = R.top_matches(pairs, ["doc_id"], cfg.top_code, tiebreak=["item_id"])
     return top.select(
         "doc_id", "item_id", "shared", "doc_grams", "item_grams", "similarity", "containment",

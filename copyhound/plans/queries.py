@@ -14,3 +14,4 @@ from copyhound.plans import normalization  # noqa: E402,F401
 from copyhound.plans import blocks_q  # noqa: E402,F401
 from copyhound.plans import code_check_q  # noqa: E402,F401
 from copyhound.plans import web_q  # noqa: E402,F401
+from copyhound.plans import stream_q  # noqa: E402,F401
