@@ -1,0 +1,30 @@
+"""The exact gestalt ratio for shortlisted pairs (the one Python scorer).
+
+Arrow-batched pandas UDF over pairs that the native X1 join already shortlisted;
+pairs are ordered lexicographically first and difflib's junk heuristic is off, so
+the score is symmetric. 0 when either side is empty."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def ratio(a: str | None, b: str | None) -> float:
+    if not a or not b:
+        return 0.0
+    x, y = (a, b) if a <= b else (b, a)
+    return SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+@F.pandas_udf(DoubleType())
+def _exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def exact_ratio(a, b) -> Column:
+    return _exact_ratio(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
