@@ -82,6 +82,8 @@ def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.Check
                                     "block_type"), [*key, "block_id"])
     best = best.join(corpus.select("corpus_id", "url", "repository", "file_path", "license"), "corpus_id")
     dedup = R.dedup_url(best, key, "url", tiebreak=["block_rank", "block_id"])
+    if cfg.extra.get("stage") == "dedup":
+        return dedup
     top = R.top_matches(dedup, key, cfg.top_code, tiebreak=["url"])
     return top.select(*key, "url", "repository", "file_path", "license", "similarity",
                       F.col("original_block"), F.col("cname").alias("matched_block"), "block_type", "match_rank")

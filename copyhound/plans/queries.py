@@ -16,3 +16,4 @@ from copyhound.plans import code_check_q  # noqa: E402,F401
 from copyhound.plans import web_q  # noqa: E402,F401
 from copyhound.plans import stream_q  # noqa: E402,F401
 from copyhound.plans import more_q  # noqa: E402,F401
+from copyhound.plans import alias_q  # noqa: E402,F401
