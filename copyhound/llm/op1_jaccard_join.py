@@ -77,13 +77,13 @@ def _int(c: Column) -> Column:
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, first): set size, 128-bit signature of the set, its first shingles in order of the hash."""
+    """(doc_id, text_hash, n, sig, first): set size, 128-bit signature of the set, its first shingles in order of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for i, j, data, off in B.text_blocks(batch.column(1)):
+            for i, j, data, off in B.text_blocks(batch.column(2)):
                 n, sig, first = [], [], []
                 for s in shingles(data, off, k):
                     n.append(len(s))
@@ -92,10 +92,11 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 ends = np.cumsum([0] + [len(x) for x in first]).astype(np.int32)
                 values = np.concatenate(first).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "n", "sig", "first"])
+                    [batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "text_hash", "n", "sig", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, first array<long>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, n long, sig binary, first array<long>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -192,7 +193,8 @@ def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, per
 
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs (doc_id, text; other columns are left out): doc_id, n_shingles, component_id.
+    """One row for each row of docs (doc_id, text; other columns are left out): doc_id, n_shingles, component_id,
+    group (a number of the component, also where doc_ids repeat; null without words) and text_hash (xxhash64).
 
     Null or wordless texts have 0 shingles and link with nothing; their component is their own doc_id. Rows with
     equal doc_ids are rows of their own; a null doc_id counts for a component's smallest only if all are null."""
@@ -205,10 +207,11 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     named = sets.select("point", "sig", "first_id").join(labels.withColumnRenamed("v", "point"), "point", "left")
     named = named.withColumn("label", F.coalesce("label", "point"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = named.join(smallest, "label").select("sig", "component_id")
-    linked = rows.where("n > 0").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of = named.join(smallest, "label").select("sig", "component_id", F.col("label").alias("group"))
+    linked = rows.where("n > 0").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "text_hash")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "text_hash")
+    return linked.union(alone)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(documents(spark, sf_dir))
+    return jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
