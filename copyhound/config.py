@@ -194,12 +194,8 @@ class CheckConfig:
     ``None`` budgets mean unlimited (the whole-table default of the queries)."""
 
     code_floor: float = CODE_MATCH_FLOOR
-    web_floor: float = WEB_MATCH_FLOOR
-    risk_threshold: float = RISK_THRESHOLD
     top_code: int = TOP_CODE_MATCHES
-    top_web: int = TOP_WEB_MATCHES
     gram_k: int = 5                      # word k-grams for text passages
-    char_k: int = 3                      # char k-grams for code blocks
     max_blocks_per_file: int | None = None
     max_terms_per_block: int | None = None
     hits_per_term: int | None = None

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from copyhound import config as C
 
@@ -45,19 +44,22 @@ def normalize_curly(code) -> Column:
 
 
 # --- N2 ---------------------------------------------------------------------
-# A line prefix made of plain characters, escaped quotes and complete quoted
+# A line's prefix made of plain characters, escaped quotes and complete quoted
 # strings, followed by an unquoted '#': the comment starts there.
 _PY_COMMENT = (
-    r"(?dm)^((?:[^'\"#\n]++|(?<=\\)['\"]"
-    r"|(?<!\\)\"(?:[^\"\n]|(?<=\\)\")*?(?<!\\)\""
-    r"|(?<!\\)'(?:[^'\n]|(?<=\\)')*?(?<!\\)')*+)#.*$"
+    r"(?d)\A((?:[^'\"#]++|(?<=\\)['\"]"
+    r"|(?<!\\)\"(?:[^\"]|(?<=\\)\")*?(?<!\\)\""
+    r"|(?<!\\)'(?:[^']|(?<=\\)')*?(?<!\\)')*+)#.*\z"
 )
-_CUT = "\u0000"
+
+
+def cut_comment(line) -> Column:
+    """A line without its ``#`` comment; only lines that have one lose trailing white space."""
+    return F.when(line.rlike(_PY_COMMENT), rx_replace(F.regexp_extract(line, _PY_COMMENT, 1), r"\s+\z", "")).otherwise(line)
 
 
 def normalize_python(code) -> Column:
-    x = rx_replace(code, _PY_COMMENT, "$1" + _CUT)
-    x = rx_replace(x, r"[ \t\x0B\f\r]*" + _CUT, "")          # rstrip the cut lines only
+    x = F.array_join(F.transform(F.split(_c(code), "\n"), cut_comment), "\n")
     x = rx_replace(x, r'(?s)""".*?"""', "")
     x = rx_replace(x, r"(?s)'''.*?'''", "")
     x = rx_replace(x, r"[ \t]+", " ")
@@ -109,15 +111,16 @@ def clip(text, n: int = C.CLIP_CHARS) -> Column:
     return F.concat(F.substring(_c(text), 1, n), F.lit("..."))
 
 
-@F.pandas_udf(StringType())
-def _percent_text(s):
-    # Python's exact-value rounding ('%.1f'); Java's formatter rounds ties up.
-    return s.map(lambda v: None if v != v or v is None else f"{v * 100:.1f}%")
+def percent_text(score) -> Column:
+    """Score as 'xx.x%', half a tenth rounded up."""
+    tenths = F.floor(_c(score).cast("double") * 1000 + 0.5).cast("long")
+    return F.when(tenths.isNotNull(), F.format_string("%d.%d%%", F.floor(tenths / 10).cast("long"), tenths % 10))
 
 
-def percent_text(score) -> Column:
-    """Score as 'xx.x%'. Applied to final report rows only (top-k per file)."""
-    return _percent_text(_c(score).cast("double"))
+def percent_sql(score: str) -> str:
+    """The same text in DuckDB."""
+    tenths = f"CAST(floor(({score}) * 1000 + 0.5) AS BIGINT)"
+    return f"concat({tenths} // 10, '.', {tenths} % 10, '%')"
 
 
 # --- B12 --------------------------------------------------------------------

@@ -42,11 +42,6 @@ def language_map() -> Column:
     return F.create_map(*chain.from_iterable((F.lit(e), F.lit(v[0])) for e, v in m.items()))
 
 
-def languages_table(spark) -> DataFrame:
-    """The registry as a tiny table (ext, language, priority, searchable)."""
-    return spark.createDataFrame(C.language_rows(), "ext string, language string, priority int, searchable boolean")
-
-
 # --- F1 ---------------------------------------------------------------------
 def allowed_ext(path) -> Column:
     return last_ext(path).isin(C.allowed_extensions())
@@ -118,26 +113,42 @@ def encoding(content) -> Column:
     return F.when(F.is_valid_utf8(_c(content).cast("string")), F.lit("utf-8")).otherwise(F.lit("latin-1"))
 
 
+# --- S2 ---------------------------------------------------------------------
+def read_members(members: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Archive members that are read at all: no directories, no hidden base names, UTF-8 bytes only."""
+    p = F.col(path_col)
+    keep = (~p.endswith("/")) & (~basename(p).startswith(".")) & is_utf8(content_col)
+    return members.where(keep)
+
+
+def is_utf8(content) -> Column:
+    return F.is_valid_utf8(_c(content).cast("string"))
+
+
 # --- F10 --------------------------------------------------------------------
-def admit(files: DataFrame, group_col: str = "submission_id", path_col: str = "path",
-          size_col: str = "length", text_col: str = "text") -> DataFrame:
-    """Every file with ``language`` and ``reason`` (null when admitted), checks in
-    the route's order: oversize submission, extension, archive, language, content."""
-    g = size_guard(files, group_col, size_col)
-    lang = detect_language(path_col)
-    ext = last_ext(path_col)
+def admit(files: DataFrame, members: DataFrame | None = None, group_col: str = "submission_id", path_col: str = "path",
+          size_col: str = "length", text_col: str = "text", content_col: str = "content") -> DataFrame:
+    """Every file with ``language`` and ``reason`` (null when admitted), checks in the route's order: a submission with
+    an oversize file, extension, bytes that aren't text, language, content. ``archive`` is null for a file of its own.
+
+    An archive isn't checked as code: its members (``archive`` = its path), read by S2's rules, take its place, and only
+    an archive of which nothing is read stays as a row (empty_archive). Members aren't size-checked on their own."""
+    bad = oversize_submissions(files, group_col, size_col)
+    ext, lang = last_ext(path_col), detect_language(path_col)
+    is_archive = ext == C.ARCHIVE_EXTENSION
+    own = files.where(~is_archive | F.lit(members is None)).withColumn("archive", F.lit(None).cast("string"))
+    rows = own.withColumn("empty", F.lit(False))
+    if members is not None:
+        read = read_members(members, path_col, content_col)
+        empty = files.where(is_archive).join(read.select(group_col, F.col("archive").alias(path_col)).distinct(), [group_col, path_col], "left_anti")
+        rows = rows.unionByName(empty.withColumn("archive", F.lit(None).cast("string")).withColumn("empty", F.lit(True)))
+        rows = rows.unionByName(read.withColumn("empty", F.lit(False)))
+    rows = rows.join(bad.withColumn("blocked", F.lit(True)), group_col, "left")
     reason = (F.when(F.col("blocked"), F.lit("oversize_submission"))
+              .when(F.col("empty"), F.lit("empty_archive"))
               .when(~allowed_ext(path_col), F.lit("unsupported_type"))
-              .when(ext == C.ARCHIVE_EXTENSION, F.lit("archive"))
+              .when(F.col("archive").isNull() & ~is_utf8(content_col), F.lit("not_text"))
               .when(lang.isNull(), F.lit("no_language"))
               .when(~valid_content(text_col), F.lit("bad_content")))
-    return g.select(group_col, path_col, size_col, text_col, lang.alias("language"), reason.alias("reason"),
-                    suspicious_tags(text_col).alias("tags"))
-
-
-# --- S2 ---------------------------------------------------------------------
-def read_members(members: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Archive members: drop directories and hidden base names; keep UTF-8 only."""
-    p = F.col(path_col)
-    keep = (~p.endswith("/")) & (~basename(p).startswith(".")) & F.is_valid_utf8(F.col(text_col))
-    return members.where(keep)
+    return rows.select(group_col, "archive", path_col, size_col, text_col, lang.alias("language"), reason.alias("reason"),
+                       suspicious_tags(text_col).alias("tags"))

@@ -2,8 +2,8 @@
 
 Regex-based languages use ``regexp_extract_all`` for the matches and ``split`` on
 the same pattern for the text between them, so the line of every match is a sum
-of newline counts (no per-character work). Python blocks come from an indentation
-scan over the line array with higher-order functions.
+of newline counts (no per-character work). Python blocks come from indentation: one
+row for each line and indentation level, and windows over a file's lines.
 
 Brace blocks follow the reference patterns, whose ``[^}]*`` makes every block end
 at the first ``}`` (the nested-looking form is equivalent to ``\\{[^}]*\\}``).
@@ -28,16 +28,26 @@ JAVA_METHOD = (r"(?:public|private|protected)?\s*(?:static)?\s*(?:final)?\s*(?:[
                rf"({_ID})\s*\([^)]*\)\s*(?:throws\s+[a-zA-Z0-9_,\s]+)?\s*{_BODY}")
 JAVA_CLASS = (rf"(?:public|private|protected)?\s*(?:static)?\s*class\s+({_ID})\s*(?:extends\s+{_ID}\s*)?"
               rf"(?:implements\s+[a-zA-Z0-9_,\s]+\s*)?\{{([^}}]*)\}}")
-# C head: the unbounded run of type/modifier words before the name overflows the
-# JVM regex stack on long prose, so the run is bounded to 6 words (possessive atoms)
-C_FUNCTION = rf"(?:[a-zA-Z_][a-zA-Z0-9_]*+\s++){{0,6}}([a-zA-Z_][a-zA-Z0-9_]*+)\s*\([^)]*\)\s*{_BODY}"
-C_FUNCTION_RE2 = rf"(?:[a-zA-Z_][a-zA-Z0-9_]*\s+){{0,6}}([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*{_BODY}"
+# C head. The pattern is a run of type and modifier words, then name(...) {...}. The JVM
+# finds only the name and its body; the words before it are taken from the end of the
+# text piece in front, read backwards, so no long run of words is ever backtracked.
+C_NAME = rf"([a-zA-Z_][a-zA-Z0-9_]*+)\s*\([^)]*\)\s*{_BODY}"
+C_FUNCTION_RE2 = rf"(?:[a-zA-Z_][a-zA-Z0-9_]*\s+)*([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*{_BODY}"
+WORDS_BACKWARDS = r"\A(?:\s+[a-zA-Z0-9_]*[a-zA-Z_])*+"
 CPP_CLASS = rf"class\s+({_ID})\s*(?::\s*(?:public|private|protected)\s+{_ID}\s*)?{_BODY}"
 CSHARP_METHOD = (r"(?:public|private|protected|internal)?\s*(?:static)?\s*(?:virtual|override)?\s*"
                  r"(?:[a-zA-Z_][a-zA-Z0-9_<>\[\]]*\s+)?"
                  rf"({_ID})\s*\([^)]*\)\s*{_BODY}")
 
-BLOCK_TYPE = "struct<block_type:string,name:string,code:string,line_start:int,ord:int>"
+BLOCKS = "array<struct<ord:struct<a:int,b:int,c:int>,block_type:string,name:string,code:string,line_start:int>>"
+
+BLOCKS_RAW = "array<struct<ord:struct<a:int,b:int,c:int>,name:string,raw:string,line_start:int>>"
+
+
+def order(a, b, c=0) -> Column:
+    """The place of a block in its file; compared field by field."""
+    as_int = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("int")
+    return F.struct(as_int(a).alias("a"), as_int(b).alias("b"), as_int(c).alias("c"))
 
 
 def newlines(s) -> Column:
@@ -45,33 +55,49 @@ def newlines(s) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
-def regex_blocks(clean, pattern: str, block_type: str, name_group: int = 1, ord_base: int = 0,
-                 keep=None) -> Column:
-    """array<struct(block_type, name, code, line_start, ord)> for every match of
-    ``pattern`` in ``clean``; ``keep(name, raw_code)`` filters (boilerplate rules)."""
+def words_before(piece: Column) -> Column:
+    """The run of words, each with white space after it, that ends a text piece."""
+    return F.reverse(F.regexp_extract(F.reverse(piece), WORDS_BACKWARDS, 0))
+
+
+def regex_blocks(clean, pattern: str, block_type: str, name_group: int = 1, place: int = 0,
+                 keep=None, lead=None) -> Column:
+    """Array of (ord, block_type, name, code, line_start) for every match of ``pattern`` in
+    ``clean``; ord = (place, match number). ``keep(name, raw_code)`` filters (boilerplate
+    rules); ``lead(piece)`` gives text before the match that belongs to it."""
     pat = F.lit(pattern)
+    lead = lead or (lambda piece: F.lit(""))
 
     def build(t):
         m0 = F.regexp_extract_all(t, pat, F.lit(0))
         m1 = F.regexp_extract_all(t, pat, F.lit(name_group))
-        pieces = F.split(t, pattern)
-        return T.let(F.struct(m0.alias("m0"), m1.alias("m1"),
-                              F.transform(pieces, newlines).alias("pn"),
-                              F.transform(m0, newlines).alias("mn")),
-                     lambda s: F.transform(s["m0"], lambda x, i: F.struct(
-                         F.lit(block_type).alias("block_type"),
-                         s["m1"][i].alias("name"),
-                         x.alias("raw"),
-                         (F.lit(1) + F.aggregate(F.slice(s["pn"], 1, i + 1), F.lit(0), lambda a, b: a + b)
-                          + F.aggregate(F.slice(s["mn"], 1, i), F.lit(0), lambda a, b: a + b)).alias("line_start"),
-                         (i + ord_base).alias("ord"))))
-
-    arr = T.let(clean, build)
+        pieces = F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m0))
+        return T.let(F.struct(m0.alias("m0"), m1.alias("m1"), F.transform(pieces, lead).alias("lead"),
+                              F.transform(pieces, newlines).alias("pn"), F.transform(m0, newlines).alias("mn")),
+                     lambda s: F.transform(F.sequence(F.lit(1), F.size(s["m0"])), lambda k: F.struct(
+                         order(place, k).alias("ord"), F.get(s["m1"], k - 1).alias("name"),
+                         F.concat(F.get(s["lead"], k - 1), F.get(s["m0"], k - 1)).alias("raw"),
+                         (F.get(s["pn"], k - 1) - newlines(F.get(s["lead"], k - 1))).alias("before"),
+                         F.get(s["mn"], k - 1).alias("inside"), newlines(F.get(s["lead"], k - 1)).alias("led"))))
+
+    def numbered(found):
+        # one pass: a match starts after all pieces and matches before it, less its own lead
+        start = F.struct(F.lit(1).alias("line"), F.array().cast(BLOCKS_RAW).alias("out"))
+
+        def add(acc, x):
+            line = acc["line"] + x["before"]
+            block = F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["raw"].alias("raw"), line.cast("int").alias("line_start"))
+            return F.struct((line + x["led"] + x["inside"]).alias("line"), F.concat(acc["out"], F.array(block)).alias("out"))
+
+        return F.aggregate(found, start, add, lambda acc: acc["out"])
+
+    none = F.array().cast(BLOCKS_RAW)
+    arr = T.let(clean, lambda t: F.when(t.rlike(pattern), T.let(build(t), numbered)).otherwise(none))
     if keep is not None:
         arr = F.filter(arr, lambda b: keep(b["name"], b["raw"]))
     return F.transform(arr, lambda b: F.struct(
-        b["block_type"].alias("block_type"), b["name"].alias("name"), T.py_strip(b["raw"]).alias("code"),
-        b["line_start"].cast("int").alias("line_start"), b["ord"].cast("long").alias("ord")))
+        b["ord"].alias("ord"), F.lit(block_type).alias("block_type"), b["name"].alias("name"),
+        T.py_strip(b["raw"]).alias("code"), b["line_start"].alias("line_start")))
 
 
 # --- B10 / B11 --------------------------------------------------------------
@@ -89,21 +115,21 @@ def csharp_boilerplate(name, raw=None) -> Column:
 # --- B3-B6 ------------------------------------------------------------------
 def blocks_js(clean) -> Column:
     return F.concat(regex_blocks(clean, JS_FUNCTION, "function"),
-                    regex_blocks(clean, JS_ARROW, "arrow_function", ord_base=100000))
+                    regex_blocks(clean, JS_ARROW, "arrow_function", place=1))
 
 
 def blocks_java(clean) -> Column:
     return F.concat(
         regex_blocks(clean, JAVA_METHOD, "method", keep=lambda n, c: ~java_boilerplate(n, c)),
-        regex_blocks(clean, JAVA_CLASS, "class", ord_base=100000,
+        regex_blocks(clean, JAVA_CLASS, "class", place=1,
                      keep=lambda n, c: ~n.isin(C.JAVA_BOILERPLATE_CLASSES)))
 
 
 def blocks_c(clean) -> Column:
     return F.concat(
-        regex_blocks(clean, C_FUNCTION, "function",
+        regex_blocks(clean, C_NAME, "function", lead=words_before,
                      keep=lambda n, c: ~n.isin(C.C_SKIP_NAMES) & ~n.startswith("_")),
-        regex_blocks(clean, CPP_CLASS, "class", ord_base=100000))
+        regex_blocks(clean, CPP_CLASS, "class", place=1))
 
 
 def blocks_csharp(clean) -> Column:
@@ -111,21 +137,17 @@ def blocks_csharp(clean) -> Column:
 
 
 # --- B7 ---------------------------------------------------------------------
-_MARK = "\u0001"
-
-
 def blocks_generic(clean) -> Column:
     """Runs of non-blank stripped lines closed by a blank line, more than 2 lines;
     an unterminated last run is dropped. name block_{n}, line_start n+1."""
-    lines = F.transform(F.split(T._c(clean), "\n"), lambda l: T.py_strip(l))
-    marked = F.array_join(F.transform(lines, lambda l: F.when(l == "", F.lit(_MARK)).otherwise(l)), "\n")
-    pieces = F.split(marked, _MARK)
-    closed = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    runs = F.transform(closed, lambda p: T.rx_replace(p, r"\A\n+|\n+\z", ""))
+    lines = F.transform(F.split(T._c(clean), "\n"), lambda l: F.concat(T.py_strip(l), F.lit("\n")))
+    pieces = F.split(F.array_join(lines, ""), "\n\n+", -1)
+    closed = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    runs = F.transform(closed, lambda p: T.rx_replace(p, r"\A\n+", ""))
     kept = F.filter(runs, lambda r: (r != "") & (F.size(F.split(r, "\n")) > 2))
     return F.transform(kept, lambda r, i: F.struct(
-        F.lit("code_block").alias("block_type"), F.concat(F.lit("block_"), i.cast("string")).alias("name"),
-        r.alias("code"), (i + 1).cast("int").alias("line_start"), i.cast("long").alias("ord")))
+        order(0, i).alias("ord"), F.lit("code_block").alias("block_type"), F.concat(F.lit("block_"), i.cast("string")).alias("name"),
+        r.alias("code"), (i + 1).cast("int").alias("line_start")))
 
 
 def generic_clean(code) -> Column:
@@ -133,83 +155,87 @@ def generic_clean(code) -> Column:
 
 
 # --- B2 ---------------------------------------------------------------------
-_PY_DEF = r"^[ \t]*def\s+([a-zA-Z_][a-zA-Z0-9_]*)"
-_PY_CLASS = r"^[ \t]*class\s+([a-zA-Z_][a-zA-Z0-9_]*)"
-_PY_LOGIC = r"^[ \t]*(for|while|if|elif)\b"
-
-
-def blocks_python(code) -> Column:
-    """function (every def), method (``Class.f`` for defs directly in a class body) and
-    logic (every for/while/if/elif statement) blocks from indentation: a block runs
-    from its header to the line before the next non-blank line indented no deeper
-    (if/for/while keep their elif/else parts). ord follows the breadth-first order
-    (indent, line); methods take their class's place."""
-    def per_file(lines):
-        n = F.size(lines)
-        info = F.transform(lines, lambda l, i: F.struct(
-            i.alias("i"),
-            F.length(F.regexp_extract(l, r"^[ \t]*", 0)).alias("ind"),
-            (T.py_strip(l) == "").alias("blank"),
-            F.regexp_extract(l, _PY_DEF, 1).alias("def"),
-            F.regexp_extract(l, _PY_CLASS, 1).alias("cls"),
-            F.regexp_extract(l, _PY_LOGIC, 1).alias("logic"),
-            l.alias("text")))
-
-        def end_of(h):
-            later = F.filter(info, lambda x: (x["i"] > h["i"]) & ~x["blank"] & (x["ind"] <= h["ind"])
-                             & ~((h["logic"] != "") & (x["ind"] == h["ind"])
-                                 & x["text"].rlike(r"^[ \t]*(elif\b|else\s*:)")))
-            return F.coalesce(F.try_element_at(F.transform(later, lambda x: x["i"]), F.lit(1)), n)
-
-        def body(h, e):
-            seg = F.slice(info, h["i"] + 1, e - h["i"])
-            txt = F.array_join(F.transform(seg, lambda x: F.when(F.length(x["text"]) >= h["ind"],
-                                                                  x["text"].substr(h["ind"] + 1, F.lit(1 << 30)))
-                                           .otherwise(F.ltrim(x["text"]))), "\n")
-            return T.rx_replace(txt, r"\s+\z", "")
-
-        def parent_class(h):
-            before = F.filter(info, lambda x: (x["i"] < h["i"]) & ~x["blank"] & (x["ind"] < h["ind"]))
-            last = F.try_element_at(before, F.lit(-1))
-            return F.when(F.size(before) > 0, last)
-
-        def depth(h):
-            # statement nesting as the AST counts it: enclosing indentation levels,
-            # plus the position in an elif chain (each elif is nested in the previous if)
-            levels = F.size(F.array_distinct(F.transform(
-                F.filter(info, lambda x: (x["i"] < h["i"]) & ~x["blank"] & (x["ind"] < h["ind"])),
-                lambda x: x["ind"])))
-            stop = F.coalesce(F.try_element_at(F.transform(F.filter(
-                info, lambda x: (x["i"] < h["i"]) & ~x["blank"] & (x["ind"] <= h["ind"])
-                & ~((x["ind"] == h["ind"]) & (x["logic"] == "elif"))), lambda x: x["i"]), F.lit(-1)), F.lit(-1))
-            chain = F.size(F.filter(info, lambda x: (x["i"] > stop) & (x["i"] <= h["i"]) & (x["ind"] == h["ind"])
-                                    & (x["logic"] == "elif")))
-            return levels + chain
-
-        def ord_key(d, line, sub):
-            return (d.cast("long") * 10 ** 12 + line.cast("long") * 10 ** 6 + sub).cast("long")
-
-        heads = F.filter(info, lambda x: (x["def"] != "") | (x["logic"] != ""))
-        blocks = F.transform(heads, lambda h: T.let(end_of(h), lambda e: F.struct(
-            F.when(h["def"] != "", F.lit("function")).otherwise(F.lit("logic")).alias("block_type"),
-            F.when(h["def"] != "", h["def"]).otherwise(F.concat(F.lit("logic_block_"), (h["i"] + 1).cast("string")))
-            .alias("name"),
-            body(h, e).alias("code"),
-            (h["i"] + 1).cast("int").alias("line_start"),
-            ord_key(depth(h), h["i"], F.lit(999999)).alias("ord"))))
-        methods = F.transform(
-            F.filter(F.transform(F.filter(heads, lambda x: x["def"] != ""),
-                                 lambda h: F.struct(h.alias("h"), parent_class(h).alias("p"))),
-                     lambda hp: hp["p"].isNotNull() & (hp["p"]["cls"] != "")),
-            lambda hp: T.let(end_of(hp["h"]), lambda e: F.struct(
-                F.lit("method").alias("block_type"),
-                F.concat(hp["p"]["cls"], F.lit("."), hp["h"]["def"]).alias("name"),
-                body(hp["h"], e).alias("code"),
-                (hp["h"]["i"] + 1).cast("int").alias("line_start"),
-                ord_key(depth(hp["p"]), hp["p"]["i"], hp["h"]["i"] % 999999).alias("ord"))))
-        return F.concat(methods, blocks)
-
-    return T.let(F.split(T._c(code), "\n"), per_file)
+# FIXED VALUES: the lines that open Python blocks
+PY_DEF = r"^[ \t]*def\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+PY_CLASS = r"^[ \t]*class\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+PY_LOGIC = r"^[ \t]*(for|while|if|elif)\b"
+PY_ELSE = r"^[ \t]*else\s*:"
+PY_EXCEPT = r"^[ \t]*except\b"
+
+
+def python_lines(files: DataFrame, key_cols, code_col: str = "code") -> DataFrame:
+    """One row for each non-blank line: keys, i, ind, def, cls, logic, part (elif or else), exc."""
+    rows = files.select(*key_cols, F.posexplode(F.split(code_col, "\n")).alias("i", "text")).where(T.py_strip("text") != "")
+    word = F.regexp_extract("text", PY_LOGIC, 1)
+    return rows.select(
+        *key_cols, "i", F.length(F.regexp_extract("text", r"^[ \t]*", 0)).alias("ind"),
+        F.regexp_extract("text", PY_DEF, 1).alias("def"), F.regexp_extract("text", PY_CLASS, 1).alias("cls"), word.alias("logic"),
+        ((word == "elif") | F.col("text").rlike(PY_ELSE)).alias("part"), F.col("text").rlike(PY_EXCEPT).cast("int").alias("exc"))
+
+
+def python_heads(files: DataFrame, key_cols, code_col: str = "code") -> DataFrame:
+    """One row for each def, class and logic line: keys, i, ind, def, cls, logic, end, depth and, for a def that stands
+    in a class body, owner (name), owner_i and owner_depth.
+
+    A line meets each indentation level of its file once, so a file costs lines x levels rows, and every answer is a
+    running value within (file, level). depth counts the statements around a line as a syntax tree does: an elif
+    hangs from the if before it, and an except clause is a step of its own. end is the next line that is indented
+    no deeper, but a later elif or else at its own level belongs to a logic line."""
+    keys = list(key_cols)
+    lines = python_lines(files, keys, code_col)
+    levels = lines.select(*keys, F.col("ind").alias("level")).distinct()
+    head = (F.col("def") != "") | (F.col("cls") != "") | (F.col("logic") != "")
+    at = lines.join(levels, keys).where((F.col("ind") <= F.col("level")) | head)
+    at = at.withColumn("near", F.col("ind") <= F.col("level")).withColumn("same", F.col("ind") == F.col("level"))
+    down = Window.partitionBy(*keys, "level").orderBy("i")
+    upto, before = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys, "level").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("near") & ~(F.col("same") & F.col("part"))
+    elifs = F.sum(F.when(F.col("same") & (F.col("logic") == "elif"), 1).otherwise(0)).over(upto)
+    at = at.withColumn("elifs", elifs)
+    at = at.withColumn("chain", F.col("elifs") - F.coalesce(F.last(F.when(start, F.col("elifs")), ignorenulls=True).over(upto), F.lit(0)))
+    anchor = F.last(F.when(F.col("near"), F.struct("ind", (F.when(F.col("part"), F.col("chain")).otherwise(0) + F.col("exc")).alias("more"))),
+                    ignorenulls=True).over(before)
+    parent = F.last(F.when(F.col("ind") < F.col("level"), F.struct("cls", F.col("i").alias("line"))), ignorenulls=True).over(before)
+    at = at.select(*keys, "level", "i", "ind", "def", "cls", "logic", "same", "chain", anchor.alias("anchor"), parent.alias("parent"),
+                   F.min(F.when(F.col("near"), F.col("i"))).over(after).alias("next_any"),
+                   F.min(F.when(start, F.col("i"))).over(after).alias("next_start")).where(head)
+    step = (F.when(F.col("same"), F.when(F.col("logic") == "elif", F.col("chain")).otherwise(0))
+            .when((F.col("ind") > F.col("level")) & (F.col("anchor.ind") == F.col("level")), 1 + F.col("anchor.more")).otherwise(0))
+    own = lambda c: F.max(F.when(F.col("same"), c))
+    heads = at.groupBy(*keys, "i").agg(
+        F.max("ind").alias("ind"), F.max("def").alias("def"), F.max("cls").alias("cls"), F.max("logic").alias("logic"),
+        F.sum(step).cast("int").alias("depth"), own(F.when(F.col("logic") != "", F.col("next_start")).otherwise(F.col("next_any"))).alias("end"),
+        own(F.col("parent.cls")).alias("owner"), own(F.col("parent.line")).alias("owner_i"))
+    classes = heads.where("cls <> ''").select(*keys, F.col("i").alias("owner_i"), F.col("depth").alias("owner_depth"))
+    return heads.join(classes, [*keys, "owner_i"], "left")
+
+
+def python_blocks(files: DataFrame, key_cols, code_col: str = "code") -> DataFrame:
+    """keys, blocks: function (every def), method (``Class.f`` for defs directly in a class body) and logic (every
+    for/while/if/elif) blocks. ord is breadth-first (depth, line); methods take their class's place."""
+    keys = list(key_cols)
+    heads = python_heads(files, keys, code_col).groupBy(*keys).agg(F.collect_list(F.struct(
+        "i", "ind", "def", "logic", "depth", "end", "owner", "owner_i", "owner_depth")).alias("heads"))
+
+    def body(lines, h):
+        part = F.slice(lines, h["i"] + 1, F.coalesce(h["end"], F.size(lines)) - h["i"])
+        cut = F.transform(part, lambda l: F.when(F.length(l) >= h["ind"], l.substr(h["ind"] + 1, F.lit(1 << 30))).otherwise(F.ltrim(l)))
+        return T.rx_replace(F.array_join(cut, "\n"), r"\s+\z", "")
+
+    def block(lines, h, ord_, kind, name):
+        return F.struct(ord_.alias("ord"), kind.alias("block_type"), name.alias("name"), body(lines, h).alias("code"), (h["i"] + 1).cast("int").alias("line_start"))
+
+    def build(lines):
+        is_def = lambda h: h["def"] != ""
+        plain = F.transform(F.filter("heads", lambda h: is_def(h) | (h["logic"] != "")), lambda h: block(
+            lines, h, order(h["depth"], h["i"]), F.when(is_def(h), "function").otherwise("logic"),
+            F.when(is_def(h), h["def"]).otherwise(F.concat(F.lit("logic_block_"), (h["i"] + 1).cast("string")))))
+        methods = F.transform(F.filter("heads", lambda h: is_def(h) & (h["owner"] != "")), lambda h: block(
+            lines, h, order(h["owner_depth"], h["owner_i"], h["i"] + 1), F.lit("method"), F.concat(h["owner"], F.lit("."), h["def"])))
+        return F.concat(methods, plain).cast(BLOCKS)
+
+    return files.join(heads, keys).select(*keys, T.let(F.split(code_col, "\n"), build).alias("blocks"))
 
 
 # --- B8 ---------------------------------------------------------------------
@@ -229,11 +255,10 @@ def fallback_block(code) -> Column:
 
 # --- B1 ---------------------------------------------------------------------
 def extract_blocks(code, language) -> Column:
-    """Dispatcher: array of block structs per file."""
+    """Dispatcher for all languages but Python: the array of a file's blocks."""
     lang = T._c(language)
     clean = T.strip_comments(code, lang)
-    return (F.when(lang == "python", blocks_python(code))
-            .when(lang.isin("javascript", "typescript"), blocks_js(clean))
+    return (F.when(lang.isin("javascript", "typescript"), blocks_js(clean))
             .when(lang == "java", blocks_java(clean))
             .when(lang.isin("c", "cpp"), blocks_c(clean))
             .when(lang == "csharp", blocks_csharp(clean))
@@ -242,14 +267,20 @@ def extract_blocks(code, language) -> Column:
 
 def block_rows(files: DataFrame, key_cols, code_col: str = "code", lang_col: str = "language") -> DataFrame:
     """One row per block: keys, language, block_id (extraction order), block_type,
-    name, code, line_start, complexity (B12), block_rank (B13)."""
-    ex = files.select(*key_cols, lang_col, F.explode(extract_blocks(code_col, lang_col)).alias("b"))
-    ex = ex.select(*key_cols, lang_col, "b.*")
-    w = Window.partitionBy(*key_cols).orderBy("ord")
-    ex = ex.withColumn("block_id", (F.row_number().over(w) - 1).cast("int"))
-    ex = ex.withColumn("complexity", T.complexity("code"))
-    wr = Window.partitionBy(*key_cols).orderBy(F.col("complexity").desc(), F.col("block_id"))
-    return ex.withColumn("block_rank", F.row_number().over(wr).cast("int")).drop("ord")
+    name, code, line_start, complexity (B12), block_rank (B13).
+
+    Blocks are numbered and ranked inside their file's array, so their text isn't shuffled."""
+    keys = list(key_cols)
+    is_python = F.coalesce(F.col(lang_col) == "python", F.lit(False))
+    python = files.where(is_python)
+    found = python_blocks(python, keys, code_col).select(*keys, F.lit("python").alias(lang_col), "blocks")
+    other = files.where(~is_python).select(*keys, lang_col, extract_blocks(code_col, lang_col).cast(BLOCKS).alias("blocks"))
+    ids = F.transform(F.sort_array("blocks"), lambda b, i: F.struct(
+        (-T.complexity(b["code"])).alias("minus"), i.alias("block_id"), b["block_type"].alias("block_type"),
+        b["name"].alias("name"), b["code"].alias("code"), b["line_start"].alias("line_start")))
+    rows = other.unionByName(found).select(*keys, lang_col, F.posexplode(F.sort_array(ids)).alias("place", "b"))
+    return rows.select(*keys, lang_col, "b.block_type", "b.name", "b.code", "b.line_start", F.col("b.block_id").cast("int").alias("block_id"),
+                       (-F.col("b.minus")).cast("int").alias("complexity"), (F.col("place") + 1).cast("int").alias("block_rank"))
 
 
 # --- B14 / B15 / P9 ---------------------------------------------------------

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyhound import config as C
-from copyhound.functions import text as T
 
 # FIXED VALUE: an index token is an identifier, optionally dotted (module paths)
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
@@ -81,6 +80,3 @@ def hit_block_pairs(hits: DataFrame, corpus_blocks: DataFrame, key_cols, id_col:
                               F.col("name").alias("cname"))
     return h.join(cb, id_col)
 
-
-def norm_of(code_col: str, lang_col: str):
-    return T.normalize(code_col, lang_col)

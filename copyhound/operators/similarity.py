@@ -19,8 +19,9 @@ from copyhound.functions import text as T
 def checked_broadcast(df: DataFrame, max_rows: int = C.CheckConfig().broadcast_max_rows) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven below ``max_rows``.
 
-    The count is one cheap job over the small side; beyond the bound the plain
-    frame is returned and the join shuffles (AQE may still split skew)."""
+    For rows of a few numbers each, as a gram profile has, a row bound is a byte bound.
+    The count is one job over the small side; beyond the bound the plain frame is
+    returned and the join shuffles (AQE may still split skew)."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
@@ -57,10 +58,11 @@ def gram_profile(df: DataFrame, id_col: str, text_col: str, k: int, unit: str,
                                       F.first(total_name).alias(total_name)))
 
 
-def gram_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
+def gram_similarity(left: DataFrame, right: DataFrame | None, left_id: str, right_id: str,
                     left_text: str = "norm", right_text: str = "norm", k: int = 5,
                     unit: str = "word", broadcast_right: bool | None = None,
-                    max_broadcast_rows: int = C.CheckConfig().broadcast_max_rows) -> DataFrame:
+                    max_broadcast_rows: int = C.CheckConfig().broadcast_max_rows,
+                    right_profile: DataFrame | None = None) -> DataFrame:
     """X1 over every (left, right) pair that shares at least one k-gram.
 
     Returns left_id, right_id, shared, left_grams, right_grams, similarity,
@@ -70,8 +72,9 @@ def gram_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     also occur on the right reach the shuffle. With two large sides both
     profiles are pre-aggregated and shuffled on the gram hash (AQE splits hot
     hashes). Gram totals travel with the rows, so no side is scanned twice.
+    ``right_profile`` is a profile kept from before (right_id, h, c2, right_grams).
     """
-    rprof = gram_profile(right, right_id, right_text, k, unit, "c2", "right_grams")
+    rprof = right_profile if right_profile is not None else gram_profile(right, right_id, right_text, k, unit, "c2", "right_grams")
     if broadcast_right is None:
         rprof_j = checked_broadcast(rprof, max_broadcast_rows)
         small = rprof_j is not rprof

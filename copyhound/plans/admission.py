@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from copyhound.operators import admit as A
 from copyhound.operators import report as R
 from copyhound.plans import code_views as V
 from copyhound.plans.catalog import register
+from copyhound.session import scratch_path
 from copyhound.sources.tables import read_table
 
 # --- SQL fragments (DuckDB) -------------------------------------------------
@@ -86,70 +89,95 @@ def q_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- F4 ---------------------------------------------------------------------
-@register("f4_validate_content",
-          f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, {long_line_sql('text')} AS long_line, "
-          f"{valid_sql('text')} AS valid FROM documents")
+@register("f4_validate_content", f"""
+SELECT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS BIGINT) AS n_chars, {long_line_sql('text')} AS long_line, {valid_sql('text')} AS valid FROM documents
+UNION ALL SELECT 'file', path, CAST(length(text) AS BIGINT), {long_line_sql('text')}, {valid_sql('text')} FROM {FILES} f""")
 def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                    A.long_line("text").alias("long_line"), A.valid_content("text").alias("valid"))
+    d = read_table(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    f = V.upload_files(spark, sf_dir).select(F.lit("file").alias("kind"), F.col("path").alias("id"), "text")
+    return d.unionByName(f).select("kind", "id", F.length("text").cast("long").alias("n_chars"),
+                                   A.long_line("text").alias("long_line"), A.valid_content("text").alias("valid"))
 
 
 # --- F5 ---------------------------------------------------------------------
 @register("f5_tag_suspicious", f"""
 SELECT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS id, {tags_sql('text')} AS tags FROM documents
-UNION ALL
-SELECT 'code' AS kind, path AS id, {tags_sql('code')} AS tags FROM {V.code_files_sql()} c""")
+UNION ALL SELECT 'code', path, {tags_sql('code')} FROM {V.code_files_sql()} c
+UNION ALL SELECT 'file', path, {tags_sql('text')} FROM {FILES} f""")
 def q_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select(
         F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), A.suspicious_tags("text").alias("tags"))
     c = V.code_files(spark, sf_dir).select(
         F.lit("code").alias("kind"), F.col("path").alias("id"), A.suspicious_tags("code").alias("tags"))
-    return d.unionByName(c)
+    f = V.upload_files(spark, sf_dir).select(F.lit("file").alias("kind"), F.col("path").alias("id"), A.suspicious_tags("text").alias("tags"))
+    return d.unionByName(c).unionByName(f)
 
 
 # --- F8 ---------------------------------------------------------------------
-@register("f8_url_filter", f"SELECT page_id, url, {url_allowed_sql('url')} AS allowed FROM pages")
+# `pages` has no blocked address, so each page also stands for a link to one kind of it
+LINKS_SQL = """(SELECT page_id, url FROM pages UNION ALL
+SELECT page_id, concat(url, CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '/a.zip' WHEN 2 THEN '?r=youtube.com' ELSE '/page' END) FROM pages)"""
+
+
+@register("f8_url_filter", f"SELECT page_id, url, {url_allowed_sql('url')} AS allowed FROM {LINKS_SQL} l")
 def q_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
-    return p.select("page_id", "url", A.url_allowed("url").alias("allowed"))
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    tail = F.expr("CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '/a.zip' WHEN 2 THEN '?r=youtube.com' ELSE '/page' END")
+    links = p.unionByName(p.select("page_id", F.concat("url", tail).alias("url")))
+    return links.select("page_id", "url", A.url_allowed("url").alias("allowed"))
 
 
 # --- F10 --------------------------------------------------------------------
+MEMBERS = V.archive_members_sql()
+READ_MEMBERS = f"""(SELECT * FROM {MEMBERS} m
+WHERE NOT ends_with(path, '/') AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.') AND is_text)"""
+
+
 def admit_sql() -> str:
     lang = lang_sql("path")
     return f"""
 WITH f AS {FILES}, b AS (SELECT submission_id FROM f GROUP BY submission_id HAVING max(length) > {C.MAX_UPLOAD_BYTES}),
-g AS (SELECT f.*, (b.submission_id IS NOT NULL) AS blocked FROM f LEFT JOIN b USING (submission_id))
-SELECT submission_id, path, length, {lang} AS language,
+m AS {READ_MEMBERS},
+z AS (SELECT *, {ext_sql('path')} = '{C.ARCHIVE_EXTENSION}' AS is_archive FROM f),
+a AS (SELECT submission_id, NULL AS archive, path, length, text, is_text, false AS nothing FROM z WHERE NOT is_archive
+      UNION ALL SELECT submission_id, NULL, path, length, text, is_text, true FROM z ANTI JOIN (SELECT submission_id, archive AS path FROM m) r USING (submission_id, path) WHERE is_archive
+      UNION ALL SELECT submission_id, archive, path, length, text, is_text, false FROM m),
+g AS (SELECT a.*, (b.submission_id IS NOT NULL) AS blocked FROM a LEFT JOIN b USING (submission_id))
+SELECT submission_id, archive, path, length, {lang} AS language,
        CASE WHEN blocked THEN 'oversize_submission'
+            WHEN nothing THEN 'empty_archive'
             WHEN NOT {allowed_sql('path')} THEN 'unsupported_type'
-            WHEN {ext_sql('path')} = '{C.ARCHIVE_EXTENSION}' THEN 'archive'
+            WHEN archive IS NULL AND NOT is_text THEN 'not_text'
             WHEN {lang} IS NULL THEN 'no_language'
             WHEN NOT {valid_sql('text')} THEN 'bad_content' END AS reason,
        {tags_sql('text')} AS tags
 FROM g"""
 
 
+def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.admit(V.upload_files(spark, sf_dir), V.archive_members(spark, sf_dir))
+
+
 @register("f10_admit", admit_sql())
 def q_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.admit(V.upload_files(spark, sf_dir)).drop("text")
+    return admitted(spark, sf_dir).drop("text")
 
 
-# --- S7 (rejects are the admit rows with a reason) ---------------------------
+# --- S7 ---------------------------------------------------------------------
 @register("s7_write_rejects", f"SELECT submission_id, path, reason FROM ({admit_sql()}) a WHERE reason IS NOT NULL")
 def q_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = A.admit(V.upload_files(spark, sf_dir))
-    return a.where(F.col("reason").isNotNull()).select("submission_id", "path", "reason")
+    """The rejected files written as a table by reason in the shared folder, and read back."""
+    path = scratch_path(spark, f"rejects/{uuid.uuid4().hex[:8]}")
+    rejected = admitted(spark, sf_dir).where(F.col("reason").isNotNull()).select("submission_id", "path", "reason")
+    rejected.write.partitionBy("reason").parquet(path)
+    return spark.read.parquet(path).select("submission_id", "path", "reason")
 
 
 # --- S2 ---------------------------------------------------------------------
-@register("s2_read_members", f"""
-SELECT submission_id, path, {lang_sql('path')} AS language FROM {FILES} f
-WHERE NOT ends_with(path, '/') AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.')""")
+@register("s2_read_members", f"SELECT submission_id, archive, path, {lang_sql('path')} AS language FROM {READ_MEMBERS} r")
 def q_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.read_members(V.upload_files(spark, sf_dir))
-    return m.select("submission_id", "path", A.detect_language("path").alias("language"))
+    m = A.read_members(V.archive_members(spark, sf_dir))
+    return m.select("submission_id", "archive", "path", A.detect_language("path").alias("language"))
 
 
 # --- P7 ---------------------------------------------------------------------
@@ -163,5 +191,5 @@ SELECT submission_id, n_files, total_bytes, n_skipped,
        CASE WHEN n_skipped > 8 THEN coalesce(pv, '') || '...' ELSE coalesce(pv, '') END AS skipped_preview
 FROM t LEFT JOIN p USING (submission_id)""")
 def q_upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = A.admit(V.upload_files(spark, sf_dir)).withColumn("accepted", F.col("reason").isNull())
+    a = admitted(spark, sf_dir).withColumn("accepted", F.col("reason").isNull())
     return R.upload_summary(a, "submission_id", "path", "length", "accepted")

@@ -12,7 +12,7 @@ from copyhound.plans import code_views as V
 from copyhound.plans.catalog import register
 from copyhound.plans.normalization import strip_comments_sql
 
-REGEX_LANGS = ["javascript", "java", "c", "go"]
+REGEX_LANGS = V.LANGS
 
 
 def _q(p: str) -> str:
@@ -27,13 +27,13 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def regex_blocks_sql(src: str, pattern: str, block_type: str, ord_base: int = 0, keep: str = "true") -> str:
+def regex_blocks_sql(src: str, pattern: str, block_type: str, place: int = 0, keep: str = "true") -> str:
     """Rows (path, language, block_type, name, raw, code, line_start, ord) of every match."""
     p = _q(pattern)
     return f"""
 SELECT path, language, '{block_type}' AS block_type, m1[i] AS name, m0[i] AS raw, {strip_sql('m0[i]')} AS code,
        CAST(1 + coalesce(list_sum(pn[1:i]), 0) + coalesce(list_sum(mn[1:i - 1]), 0) AS INTEGER) AS line_start,
-       i - 1 + {ord_base} AS ord
+       {place} AS o1, i AS o2, 0 AS o3
 FROM (SELECT path, language, regexp_extract_all(clean, '{p}', 0) AS m0, regexp_extract_all(clean, '{p}', 1) AS m1,
              list_transform(regexp_split_to_array(clean, '{p}'), lambda s: {nl_sql('s')}) AS pn,
              list_transform(regexp_extract_all(clean, '{p}', 0), lambda s: {nl_sql('s')}) AS mn
@@ -48,14 +48,56 @@ def java_boiler_sql(name: str, raw: str) -> str:
 
 
 def generic_blocks_sql(src: str) -> str:
-    lines = f"list_transform(string_split(clean, chr(10)), lambda l: {strip_sql('l')})"
-    marked = f"array_to_string(list_transform({lines}, lambda l: CASE WHEN l = '' THEN chr(1) ELSE l END), chr(10))"
+    lines = f"list_transform(string_split(clean, chr(10)), lambda l: {strip_sql('l')} || chr(10))"
     return f"""
 SELECT path, language, 'code_block' AS block_type, 'block_' || CAST(i - 1 AS VARCHAR) AS name, kept[i] AS raw,
-       kept[i] AS code, CAST(i AS INTEGER) AS line_start, i - 1 AS ord
-FROM (SELECT path, language, list_filter(list_transform(pc[1:len(pc) - 1], lambda p: regexp_replace(p, '^\\n+|\\n+$', '', 'g')),
+       kept[i] AS code, CAST(i AS INTEGER) AS line_start, 0 AS o1, i AS o2, 0 AS o3
+FROM (SELECT path, language, list_filter(list_transform(pc[1:len(pc) - 1], lambda p: regexp_replace(p, '^\\n+', '')),
                                    lambda r: r <> '' AND len(string_split(r, chr(10))) > 2) AS kept
-      FROM (SELECT path, language, string_split({marked}, chr(1)) AS pc FROM {src}) x) k, range(1, len(kept) + 1) t(i)"""
+      FROM (SELECT path, language, regexp_split_to_array(array_to_string({lines}, ''), '\\n\\n+') AS pc FROM {src}) x) k, range(1, len(kept) + 1) t(i)"""
+
+
+def python_blocks_sql(src: str) -> str:
+    """Rows of every Python block: the same running values over (file, indentation level) as SQL windows."""
+    return f"""
+WITH files AS {src},
+lines AS (
+  SELECT path, i, length(regexp_extract(t, '^[ \\t]*', 0)) AS ind, regexp_extract(t, '{B.PY_DEF}', 1) AS def, regexp_extract(t, '{B.PY_CLASS}', 1) AS cls,
+    regexp_extract(t, '{B.PY_LOGIC}', 1) AS logic, regexp_extract(t, '{B.PY_LOGIC}', 1) = 'elif' OR regexp_matches(t, '{B.PY_ELSE}') AS part,
+    CAST(regexp_matches(t, '{B.PY_EXCEPT}') AS INTEGER) AS exc
+  FROM (SELECT path, i - 1 AS i, ls[i] AS t FROM (SELECT path, string_split(clean, chr(10)) AS ls FROM files) f, range(1, len(ls) + 1) r(i)) x
+  WHERE regexp_matches(t, '\\S')),
+at0 AS (
+  SELECT l.*, v.level, ind <= level AS near, ind = level AS same, ind <= level AND NOT (ind = level AND part) AS start,
+    sum(CASE WHEN ind = level AND logic = 'elif' THEN 1 ELSE 0 END) OVER (PARTITION BY path, level ORDER BY i) AS elifs
+  FROM lines l JOIN (SELECT DISTINCT path, ind AS level FROM lines) v USING (path)
+  WHERE ind <= level OR def <> '' OR cls <> '' OR logic <> ''),
+at1 AS (SELECT *, elifs - coalesce(last_value(CASE WHEN start THEN elifs END IGNORE NULLS) OVER (PARTITION BY path, level ORDER BY i), 0) AS chain FROM at0),
+at2 AS (
+  SELECT *, last_value(CASE WHEN near THEN {{'ind': ind, 'more': CASE WHEN part THEN chain ELSE 0 END + exc}} END IGNORE NULLS) OVER b AS anchor,
+    last_value(CASE WHEN ind < level THEN {{'cls': cls, 'line': i}} END IGNORE NULLS) OVER b AS parent,
+    min(CASE WHEN near THEN i END) OVER a AS next_any, min(CASE WHEN start THEN i END) OVER a AS next_start
+  FROM at1
+  WINDOW b AS (PARTITION BY path, level ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         a AS (PARTITION BY path, level ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+heads AS (
+  SELECT path, i, max(ind) AS ind, max(def) AS def, max(cls) AS cls, max(logic) AS logic,
+    sum(CASE WHEN same THEN CASE WHEN logic = 'elif' THEN chain ELSE 0 END WHEN ind > level AND anchor.ind = level THEN 1 + anchor.more ELSE 0 END) AS depth,
+    max(CASE WHEN same THEN CASE WHEN logic <> '' THEN next_start ELSE next_any END END) AS stop,
+    max(CASE WHEN same THEN parent.cls END) AS owner, max(CASE WHEN same THEN parent.line END) AS owner_i
+  FROM at2 WHERE def <> '' OR cls <> '' OR logic <> '' GROUP BY path, i),
+named AS (
+  SELECT path, i, ind, stop, CASE WHEN def <> '' THEN 'function' ELSE 'logic' END AS block_type,
+    CASE WHEN def <> '' THEN def ELSE 'logic_block_' || CAST(i + 1 AS VARCHAR) END AS name, depth AS o1, i AS o2, 0 AS o3
+  FROM heads WHERE def <> '' OR logic <> ''
+  UNION ALL
+  SELECT h.path, h.i, h.ind, h.stop, 'method', h.owner || '.' || h.def, c.depth, c.i, h.i + 1
+  FROM heads h JOIN heads c ON c.path = h.path AND c.i = h.owner_i WHERE h.def <> '' AND c.cls <> '')
+SELECT n.path, 'python' AS language, block_type, name, '' AS raw,
+  regexp_replace(array_to_string(list_transform(string_split(clean, chr(10))[i + 1:coalesce(stop, len(string_split(clean, chr(10))))],
+    lambda l: CASE WHEN length(l) >= ind THEN substring(l, ind + 1) ELSE ltrim(l, ' ') END), chr(10)), '\\s+$', '') AS code,
+  CAST(i + 1 AS INTEGER) AS line_start, o1, o2, o3
+FROM named n JOIN files USING (path)"""
 
 
 def complexity_sql(x: str) -> str:
@@ -66,29 +108,32 @@ def blocks_sql(langs=REGEX_LANGS) -> str:
     src = (f"(SELECT path, language, {strip_comments_sql('code', 'language')} AS clean "
            f"FROM {V.code_files_sql(langs)} c)")
     parts = []
-    for lang, sub in (("javascript", f"(SELECT * FROM {src} s WHERE language IN ('javascript', 'typescript'))"),
+    for lang, sub in (("python", f"(SELECT path, language, clean FROM {src} s WHERE language = 'python')"),
+                      ("javascript", f"(SELECT * FROM {src} s WHERE language IN ('javascript', 'typescript'))"),
                       ("java", f"(SELECT * FROM {src} s WHERE language = 'java')"),
                       ("c", f"(SELECT * FROM {src} s WHERE language IN ('c', 'cpp'))"),
                       ("generic", f"(SELECT * FROM {src} s WHERE language NOT IN "
                                   "('python', 'javascript', 'typescript', 'java', 'c', 'cpp', 'csharp'))")):
-        if lang == "javascript":
+        if lang == "python":
+            parts.append(python_blocks_sql(sub))
+        elif lang == "javascript":
             parts += [regex_blocks_sql(sub, B.JS_FUNCTION, "function"),
-                      regex_blocks_sql(sub, B.JS_ARROW, "arrow_function", 100000)]
+                      regex_blocks_sql(sub, B.JS_ARROW, "arrow_function", 1)]
         elif lang == "java":
             parts += [regex_blocks_sql(sub, B.JAVA_METHOD, "method", keep=f"NOT {java_boiler_sql('m1[i]', 'm0[i]')}"),
-                      regex_blocks_sql(sub, B.JAVA_CLASS, "class", 100000,
+                      regex_blocks_sql(sub, B.JAVA_CLASS, "class", 1,
                                        keep="m1[i] NOT IN (" + ", ".join(f"'{x}'" for x in C.JAVA_BOILERPLATE_CLASSES) + ")")]
         elif lang == "c":
             parts += [regex_blocks_sql(sub, B.C_FUNCTION_RE2, "function",
                                        keep="m1[i] NOT IN ('main', 'printf', 'scanf') AND NOT starts_with(m1[i], '_')"),
-                      regex_blocks_sql(sub, B.CPP_CLASS, "class", 100000)]
+                      regex_blocks_sql(sub, B.CPP_CLASS, "class", 1)]
         else:
             parts.append(generic_blocks_sql(sub))
     u = " UNION ALL ".join(f"({p})" for p in parts)
     return f"""
 WITH u AS ({u}),
 b AS (SELECT path, language, block_type, name, code, line_start,
-             CAST(row_number() OVER (PARTITION BY path ORDER BY ord) - 1 AS INTEGER) AS block_id,
+             CAST(row_number() OVER (PARTITION BY path ORDER BY o1, o2, o3) - 1 AS INTEGER) AS block_id,
              CAST({complexity_sql('code')} AS INTEGER) AS complexity FROM u)
 SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY complexity DESC, block_id) AS INTEGER) AS block_rank FROM b"""
 
@@ -105,7 +150,7 @@ def q_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_blocks(spark, sf_dir).select(*BLOCK_COLS)
 
 
-for _name, _langs in (("b3_blocks_js", ["javascript"]), ("b4_blocks_java", ["java"]), ("b5_blocks_c", ["c"]),
+for _name, _langs in (("b2_blocks_python", ["python"]), ("b3_blocks_js", ["javascript"]), ("b4_blocks_java", ["java"]), ("b5_blocks_c", ["c"]),
                       ("b7_blocks_generic", ["go"])):
     register(_name, f"SELECT * FROM ({blocks_sql()}) x WHERE language IN ("
              + ", ".join(f"'{x}'" for x in _langs) + ")")(
@@ -123,12 +168,6 @@ def q_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("path", "b.name", "b.code", "b.line_start")
 
 
-@register("b2_blocks_python")
-def q_b2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indentation blocks of the Python view (checked against Python's ast on fixtures)."""
-    return spark_blocks(spark, sf_dir, ["python"]).select(*BLOCK_COLS)
-
-
 @register("b8_blocks_fallback", f"""
 SELECT path, array_to_string(list_filter(string_split(code, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT ("""
           + " OR ".join(f"starts_with({strip_sql('l')}, '{p}')" for p in C.FALLBACK_SKIP_PREFIXES)
@@ -145,11 +184,9 @@ FROM (SELECT path, regexp_extract_all(clean, '{_q(B.JAVA_METHOD)}', 0) AS m0, re
      range(1, len(m0) + 1) t(i)""")
 def q_b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.code_files(spark, sf_dir, ["java"]).select("path", T.strip_comments("code", F.lit("java")).alias("clean"))
-    raw = B.regex_blocks("clean", B.JAVA_METHOD, "method")
     m = c.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("clean", F.lit(B.JAVA_METHOD), F.lit(0)).alias("raw"),
                                                 F.regexp_extract_all("clean", F.lit(B.JAVA_METHOD), F.lit(1)).alias("name")))
                  .alias("z"))
-    del raw
     return m.select("path", F.col("z.name").alias("name"),
                     B.java_boilerplate(F.col("z.name"), F.col("z.raw")).alias("boilerplate"))
 

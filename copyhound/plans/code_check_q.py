@@ -111,7 +111,7 @@ def q_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.max("indexed_at").alias("newest"))
 
 
-# --- the check_code chain on the languages with SQL block extractors ----------
+# --- the check_code chain over all five languages, with the budgets of C.REFERENCE_BUDGET ----
 LANGS4 = BQ.REGEX_LANGS
 
 
@@ -166,12 +166,6 @@ def q_x7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CC.code_matches(spark, sf_dir, LANGS4)
 
 
-@register("x7_check_code_python")
-def q_x7_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """check_code over the Python view (indentation blocks have no SQL extractor)."""
-    return CC.code_matches(spark, sf_dir, ["python"])
-
-
 @register("t5_select_terms", chain_sql("SELECT path, CAST(block_id AS INTEGER) AS block_id, term, CAST(term_rank AS INTEGER) AS term_rank FROM terms"))
 def q_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = CC.submitted_files(spark, sf_dir, LANGS4)

@@ -48,19 +48,24 @@ VIEW_SQL = {
 EXT = {"python": ".py", "javascript": ".js", "java": ".java", "c": ".c", "go": ".go"}
 LANGS = list(VIEW_SQL)
 
-# files view for admission (F1-F3, S2, P7): path, submission, size in bytes
+# Files view for admission (F1-F5, F10, S2, S7, P7): submission, path, size, text, and whether its bytes are UTF-8.
+# Every rule has rows that trigger it: sizes on both sides of the limit, over-long lines, tagged calls, bytes that aren't
+# text, unknown and dot names, and archives.
 FILES_PATH_SQL = (
     f"concat('dir/', CASE WHEN p_partkey % 11 = 0 THEN '.' ELSE '' END, {ID}, '_', p_partkey, "
     "CASE p_partkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.java' WHEN 3 THEN '.h' "
     "WHEN 4 THEN '.txt' WHEN 5 THEN '' WHEN 6 THEN '.zip' ELSE '.cpp' END)"
 )
 FILES_SUB_SQL = "concat('sub', p_partkey % 50)"
-FILES_LEN_SQL = "CAST(p_size * 100000 AS BIGINT)"
-# content of a files-view row: the code view of its (guessed) language, python otherwise
+FILES_LEN_SQL = "CAST(p_size * 63500 AS BIGINT)"
+LONG_LINE = 100001
 FILES_TEXT_SQL = (
-    "CASE p_partkey % 8 WHEN 1 THEN {javascript} WHEN 2 THEN {java} WHEN 3 THEN {c} "
-    "WHEN 7 THEN {c} ELSE {python} END"
+    "CASE WHEN p_partkey % 97 = 3 THEN repeat('x', " + str(LONG_LINE) + ") WHEN p_partkey % 13 = 0 THEN concat({python}, 'eval (x)') ELSE "
+    "CASE p_partkey % 8 WHEN 1 THEN {javascript} WHEN 2 THEN {java} WHEN 3 THEN {c} WHEN 7 THEN {c} ELSE {python} END END"
 ).format(**VIEW_SQL)
+FILES_IS_TEXT_SQL = "p_partkey % 29 <> 1"
+# The members of an archive of the files view: (suffix of the path, is text).
+MEMBERS = [("/src/", True), ("/.hidden.py", True), ("/m.py", True), ("/readme.md", True), ("/raw.py", False)]
 
 
 def code_files(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
@@ -89,17 +94,36 @@ def code_files_sql(langs=None) -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
+NOT_TEXT = "caf\u00e9"  # its Latin-1 bytes aren't UTF-8
+
+
+def _bytes(is_text: str, text: str):
+    """The bytes of a file: UTF-8 text, or Latin-1 bytes that aren't."""
+    return F.when(F.expr(is_text), F.encode(F.expr(text), "UTF-8")).otherwise(F.encode(F.lit(NOT_TEXT), "ISO-8859-1"))
+
+
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files view: submission_id, path, length, text."""
-    p = read_table(spark, sf_dir, "part")
+    """The files view: submission_id, path, length, text, content (its bytes)."""
+    p = read_table(spark, sf_dir, "part").withColumn("content", _bytes(FILES_IS_TEXT_SQL, FILES_TEXT_SQL))
     return p.selectExpr(f"{FILES_SUB_SQL} AS submission_id", f"{FILES_PATH_SQL} AS path",
-                        f"{FILES_LEN_SQL} AS length", f"{FILES_TEXT_SQL} AS text")
+                        f"{FILES_LEN_SQL} AS length", f"{FILES_TEXT_SQL} AS text", "content")
 
 
 def upload_files_sql() -> str:
     return (f"(SELECT {FILES_SUB_SQL} AS submission_id, {FILES_PATH_SQL} AS path, "
-            f"{FILES_LEN_SQL} AS length, {FILES_TEXT_SQL} AS text FROM part)")
+            f"{FILES_LEN_SQL} AS length, {FILES_TEXT_SQL} AS text, {FILES_IS_TEXT_SQL} AS is_text FROM part)")
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of the files view hold, already unpacked: submission_id, archive, path, length, text, content."""
+    z = upload_files(spark, sf_dir).where("path LIKE '%.zip'").withColumnRenamed("path", "archive")
+    member = F.explode(F.array(*[F.struct(F.lit(x).alias("suffix"), F.lit(t).alias("is_text")) for x, t in MEMBERS])).alias("m")
+    z = z.select("submission_id", "archive", "length", "text", member)
+    return z.select("submission_id", "archive", F.concat("archive", "m.suffix").alias("path"), "length", "text",
+                    _bytes("m.is_text", "text").alias("content"))
 
 
-def lit_col(x: str):
-    return F.lit(x)
+def archive_members_sql() -> str:
+    rows = ", ".join(f"('{x}', {str(t).lower()})" for x, t in MEMBERS)
+    return (f"(SELECT submission_id, path AS archive, concat(path, suffix) AS path, length, text, m.is_text FROM {upload_files_sql()} f, "
+            f"(VALUES {rows}) m(suffix, is_text) WHERE path LIKE '%.zip')")

@@ -140,7 +140,7 @@ def q_n9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("n10_percent_text", f"""
-SELECT doc_id, item_id, printf('%.1f%%', similarity * 100) AS similarity_percentage FROM ({PS.pairs_sql()}) p""")
+SELECT doc_id, item_id, {T.percent_sql('similarity')} AS similarity_percentage FROM ({PS.pairs_sql()}) p""")
 def q_n10(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = PS.passage_pairs(spark, sf_dir)
     return p.select("doc_id", "item_id", T.percent_text("similarity").alias("similarity_percentage"))

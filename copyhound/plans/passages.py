@@ -38,11 +38,10 @@ def copied_passages(spark: SparkSession, sf_dir: str, cfg: C.CheckConfig = C.Che
     return copied_from_pairs(passage_pairs(spark, sf_dir, cfg.gram_k), cfg)
 
 
-def copied_from(docs: DataFrame, passages: DataFrame, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
-    """The flagship over given frames (documents: doc_id, text; passages: item_id, text)."""
+def copied_from(docs: DataFrame, profile: DataFrame, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
+    """The flagship over given documents (doc_id, text) and a passage profile (item_id, h, c2, right_grams)."""
     d = docs.select("doc_id", T.normalize_generic("text").alias("norm"))
-    b = passages.select("item_id", T.normalize_generic("text").alias("norm"))
-    pairs = gram_similarity(d, b, "doc_id", "item_id", k=cfg.gram_k, unit="word")
+    pairs = gram_similarity(d, None, "doc_id", "item_id", k=cfg.gram_k, unit="word", right_profile=profile)
     pairs = pairs.withColumnRenamed("left_grams", "doc_grams").withColumnRenamed("right_grams", "item_grams")
     return copied_from_pairs(pairs, cfg)
 
@@ -115,7 +114,7 @@ WITH p AS ({pairs_sql()}),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS match_rank
       FROM p WHERE similarity >= {C.CODE_MATCH_FLOOR})
 SELECT doc_id, item_id, shared, doc_grams, item_grams, similarity, containment,
-       printf('%.1f%%', similarity * 100) AS similarity_percentage,
+       {T.percent_sql('similarity')} AS similarity_percentage,
        CASE WHEN similarity > 0.8 THEN 'high' WHEN similarity > 0.6 THEN 'medium' ELSE 'low' END AS badge,
        match_rank
 FROM f WHERE match_rank <= {C.TOP_CODE_MATCHES}

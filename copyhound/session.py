@@ -8,10 +8,13 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+SPREAD_CONF = "spark.copyhound.spread.partitions"
+
+
 def get_spark(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "copyhound",
-              driver_memory: str = "16g") -> SparkSession:
-    """Local session for tests and the bench. On a cluster the session comes from
-    the launcher; only :func:`ensure_checkpoint_dir` is applied to it."""
+              driver_memory: str = "16g", checkpoint_dir: str | None = None) -> SparkSession:
+    """Local session for tests, tools and the bench, which pass a fresh ``checkpoint_dir``.
+    On a cluster the session comes from the launcher, which names the shared folder."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,22 +27,28 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "c
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
+        # the local tables are single files: deal their rows to all threads
+        .config(SPREAD_CONF, str(2 * shuffle_partitions))
     )
+    if checkpoint_dir:
+        spark = spark.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The checkpoint folder that the driver and all executors share, as the session names
+    it in ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared location; only when it is unset (local tests)
-    a fresh folder is created here."""
+    Where it is unset, a one-process local session gets a fresh folder; on a cluster that
+    is an error, since a folder on the driver's own disk can't be seen by the executors."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="copyhound-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

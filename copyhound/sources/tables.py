@@ -5,37 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copyhound.session import SPREAD_CONF
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
-    """Hash-partition on ``key`` when the scan cannot provide parallelism.
-
-    A text table stored as fewer files than task slots (one row group per file)
-    is read by one task; the CPU-heavy text work after it would then run
-    serially. With many input files (the cluster case) nothing is added."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001
-        n_files = slots
-    if n_files >= slots:
-        return df
-    return df.repartition(slots * factor, key)
-
-
-def read_documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` seen as submitted files: submission = source, path = source/doc_id."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select(
-        "doc_id",
-        F.col("source").alias("submission_id"),
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
-        "text",
-        "lang",
-    )
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition on ``key`` when the session asks for it (``spark.copyhound.spread.partitions``).
+
+    Off by default: a cluster's tables are many splittable files. The local session of the
+    tests turns it on, because there a table is one file and its text work would run in one task."""
+    n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n, key) if n > 0 else df
 
 
 def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

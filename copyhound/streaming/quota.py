@@ -7,12 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copyhound import config as C
 from copyhound.session import scratch_path
 from copyhound.sources.tables import read_request_log
 
-# quotas used on the test log (the reference's 200/day, 50/hour, 10/minute never trigger there)
-TEST_QUOTAS = [("1 day", 5), ("1 hour", 1)]
-
 
 def window_counts(log: DataFrame, window: str) -> DataFrame:
     """Requests per (client, fixed window); map-side partial counts."""
@@ -27,7 +25,8 @@ def violations(counts: DataFrame, window: str, limit: int) -> DataFrame:
         "n", F.lit(limit).cast("long").alias("quota_limit"), (F.col("n") - limit).alias("over"))
 
 
-def quota_violations(log: DataFrame, quotas=TEST_QUOTAS) -> DataFrame:
+def quota_violations(log: DataFrame, quotas=C.QUOTAS) -> DataFrame:
+    """Windows over their limit, one row each."""
     out = None
     for win, lim in quotas:
         v = violations(window_counts(log, win), win, lim)
@@ -35,27 +34,40 @@ def quota_violations(log: DataFrame, quotas=TEST_QUOTAS) -> DataFrame:
     return out
 
 
-def quota_violations_stream(spark: SparkSession, sf_dir: str, quotas=TEST_QUOTAS,
-                            watermark: str = "1 hour") -> DataFrame:
-    """The same counts from a file stream over `events` (availableNow trigger, complete
-    mode, memory sink); late rows beyond the watermark would be dropped in append mode."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+def count_stream(log: DataFrame, window: str, name: str, watermark: str) -> DataFrame:
+    """The window counts of a streaming log, as a table in the shared folder.
+
+    Each micro-batch writes the counts it changed under its own number, so a batch that is
+    run again replaces its rows. Counts only grow, so a window's count is its largest. The
+    watermark lets old windows leave the state; rows that come later than it are dropped."""
+    path = scratch_path(log.sparkSession, f"stream/{name}/counts")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (window_counts(log.withWatermark("ts", watermark), window).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", scratch_path(log.sparkSession, f"stream/{name}/state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = "client long, w struct<start:timestamp,end:timestamp>, n long, epoch long"
+    counts = log.sparkSession.read.schema(schema).parquet(path)
+    return counts.groupBy("client", "w").agg(F.max("n").alias("n"))
+
+
+def quota_violations_stream(spark: SparkSession, sf_dir: str, quotas=C.QUOTAS, watermark: str = "2 days") -> DataFrame:
+    """The same violations from a file stream over `events`, several micro-batches."""
+    landed = scratch_path(spark, f"stream/events_{uuid.uuid4().hex[:8]}")
+    read_request_log(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(landed)
+    schema = spark.read.parquet(landed).schema
     out = None
     for win, lim in quotas:
-        stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-                  .select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
-                  .withWatermark("ts", watermark))
-        name = f"quota_{uuid.uuid4().hex[:8]}"
-        q = (window_counts(stream, win).writeStream.outputMode("complete").format("memory").queryName(name)
-             .option("checkpointLocation", scratch_path(spark, f"stream/{name}"))
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        v = violations(spark.table(name), win, lim)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landed).select("client", "ts")
+        # file order isn't time order, so the watermark has to span the log
+        v = violations(count_stream(stream, win, f"quota_{uuid.uuid4().hex[:8]}", watermark), win, lim)
         out = v if out is None else out.unionByName(v)
     return out
 
 
-def quota_sql(quotas=TEST_QUOTAS) -> str:
+def quota_sql(quotas=C.QUOTAS) -> str:
     parts = []
     for win, lim in quotas:
         unit = win.split()[1]
@@ -63,7 +75,3 @@ def quota_sql(quotas=TEST_QUOTAS) -> str:
        CAST(count(*) AS BIGINT) AS n, CAST({lim} AS BIGINT) AS quota_limit, CAST(count(*) - {lim} AS BIGINT) AS over
 FROM events GROUP BY user_id, date_trunc('{unit}', ts) HAVING count(*) > {lim}""")
     return " UNION ALL ".join(parts)
-
-
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota_violations(read_request_log(spark, sf_dir))

@@ -10,7 +10,7 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from copyhound.session import get_spark
-    s = get_spark(cores=8, shuffle_partitions=8)
+    s = get_spark(cores=8, shuffle_partitions=8, checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     yield s

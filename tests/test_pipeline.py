@@ -1,30 +1,15 @@
-"""Pipeline fixtures: X2 vs difflib, TTL anchors (Z2/R7), quotas (Z1), flagship vs DuckDB."""
+"""Pipeline fixtures: TTL anchors (Z2/R7), quotas (Z1), flagship vs DuckDB."""
 
 import datetime as dt
-from difflib import SequenceMatcher
 
 import duckdb
-from pyspark.sql import functions as F
 
 from conftest import SF001
-from copyhound.operators.exact import exact_ratio, ratio
 from copyhound.operators.similarity import gram_similarity
 from copyhound.streaming import quota as Z1
 from copyhound.streaming import ttl as Z2
 
 
-def test_exact_ratio_matches_difflib(spark):
-    pairs = [("def f(x):\n return x", "def g(y):\n return y"), ("abc" * 100, "abd" * 90), ("", "x"), ("same", "same")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = [r.r for r in df.select(exact_ratio("a", "b").alias("r")).collect()]
-    for (a, b), g in zip(pairs, got):
-        x, y = sorted([a, b])
-        want = SequenceMatcher(None, x, y, autojunk=False).ratio() if a and b else 0.0
-        assert abs(g - want) < 1e-12
-        assert g == ratio(b, a)            # symmetric
-    assert got[3] == 1.0 and got[2] == 0.0
-
-
 def test_gram_similarity_bounds(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e x y")], "id long, norm string")
     ref = spark.createDataFrame([(10, "a b c d e f g")], "rid long, norm string")
