@@ -138,7 +138,8 @@ def _region_points(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     shared = tokens.groupBy("h").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high").select("h")
     need = F.greatest(F.lit(1), _int(_int((F.col("n") * percent + 99) / 100) / 10))
     some = tokens.join(shared, "h").groupBy("point").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= need).select("point")
-    whole = stored(_whole_sets(docs, sets.select("point", "sig", "first_id").join(some, "point"), k), "sets")
+    wanted = stored(sets.select("point", "sig", "first_id").join(some, "point"), "wanted")
+    whole = stored(_whole_sets(docs, wanted, k), "sets")
     tokens = whole.select("point", "n", F.explode("tokens").alias("h"))
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     least = _int((F.col("n") * percent + 99) / 100)

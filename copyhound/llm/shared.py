@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copyhound.session import scratch_path
 from copyhound.sources.tables import read_table
 
 
@@ -14,27 +15,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+#: Shuffle files go when the statement that wrote them ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share (`spark.checkpoint.dir`)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_path(spark, name)}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: a lost executor costs no earlier stage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as a table in the shared folder and read again: a lost executor costs no earlier stage, and the
+    shuffle files behind the table are given back."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that this job made."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
