@@ -190,14 +190,19 @@ def allowed_extensions():
 
 @dataclass(frozen=True)
 class CheckConfig:
-    """Tunable knobs of a check job. Defaults reproduce the reference budgets;
-    ``None`` budgets mean unlimited (the whole-table default of the queries)."""
+    """Tunable knobs of a check job. ``None`` means unlimited."""
 
     code_floor: float = CODE_MATCH_FLOOR
     top_code: int = TOP_CODE_MATCHES
     gram_k: int = 5                      # word k-grams for text passages
+    terms_per_text: int | None = None    # search terms of a block or file, rarest first
+    hits_per_term: int | None = None     # newest corpus files of a term
     max_blocks_per_file: int | None = None
     max_terms_per_block: int | None = None
-    hits_per_term: int | None = None
     broadcast_max_rows: int = 2_000_000  # size-checked broadcast bound
     extra: dict = field(default_factory=dict)
+
+
+# What the reference's search service allows: the newest hits of a few terms.
+REFERENCE_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM)
+FALLBACK_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM_FALLBACK)

@@ -21,16 +21,26 @@ def rx_replace(col, pattern: str, repl: str = "") -> Column:
     return F.regexp_replace(_c(col), F.lit(pattern), F.lit(repl))
 
 
+# White space and word characters of Unicode, spelled out: the JVM's and RE2's own \\s and \\w know ASCII only.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def unicode_classes(pattern: str) -> str:
+    """A pattern with its \\s and \\w (outside brackets) meant as Unicode."""
+    return pattern.replace(r"\s", WHITE).replace(r"\w", WORD)
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace."""
-    return rx_replace(col, r"\A\s+|\s+\z", "")
+    return rx_replace(col, rf"\A{WHITE}+|{WHITE}+\z", "")
 
 
 # --- N4 ---------------------------------------------------------------------
 def normalize_generic(code) -> Column:
     """One pass over ``//…`` (to line end) and ``/*…*/``, all whitespace to one space, trim."""
     x = rx_replace(code, r"(?dms)//.*?$|/\*.*?\*/", "")
-    x = rx_replace(x, r"\s+", " ")
+    x = rx_replace(x, WHITE + "+", " ")
     return F.trim(x)
 
 
@@ -39,7 +49,7 @@ def normalize_curly(code) -> Column:
     x = rx_replace(code, r"(?dm)//.*?$", "")
     x = rx_replace(x, r"(?s)/\*.*?\*/", "")
     x = rx_replace(x, r"[ \t]+", " ")
-    x = rx_replace(x, r"\n\s*\n", "\n")
+    x = rx_replace(x, rf"\n{WHITE}*\n", "\n")
     return py_strip(x)
 
 
@@ -55,7 +65,7 @@ _PY_COMMENT = (
 
 def cut_comment(line) -> Column:
     """A line without its ``#`` comment; only lines that have one lose trailing white space."""
-    return F.when(line.rlike(_PY_COMMENT), rx_replace(F.regexp_extract(line, _PY_COMMENT, 1), r"\s+\z", "")).otherwise(line)
+    return F.when(line.rlike(_PY_COMMENT), rx_replace(F.regexp_extract(line, _PY_COMMENT, 1), WHITE + r"+\z", "")).otherwise(line)
 
 
 def normalize_python(code) -> Column:
@@ -63,7 +73,7 @@ def normalize_python(code) -> Column:
     x = rx_replace(x, r'(?s)""".*?"""', "")
     x = rx_replace(x, r"(?s)'''.*?'''", "")
     x = rx_replace(x, r"[ \t]+", " ")
-    x = rx_replace(x, r"\n\s*\n", "\n")
+    x = rx_replace(x, rf"\n{WHITE}*\n", "\n")
     return py_strip(x)
 
 

@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyhound import config as C
+from copyhound.functions import text as T
 
-# FIXED VALUE: an index token is an identifier, optionally dotted (module paths)
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
+# FIXED VALUES: an index token is an identifier, which may hold $, or a dotted name; parts without $ count too
+TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*"
+PARTS = [r"[A-Za-z_$][A-Za-z0-9_$]*", r"[A-Za-z_][A-Za-z0-9_]*"]
 
 
 def build_term_index(corpus: DataFrame, id_col: str = "corpus_id", text_col: str = "content",
                      lang_col: str = "language", order_col: str = "indexed_at") -> DataFrame:
     """(term, language, corpus_id, indexed_at) postings, one per distinct token of
-    a file. Dotted names are indexed whole and per identifier."""
-    toks = F.array_distinct(F.concat(
-        F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)),
-        F.regexp_extract_all(F.col(text_col), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
+    a file. Dotted names and names with $ are indexed whole and per identifier."""
+    toks = F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(0)) for p in (TOKEN, *PARTS)]))
     return corpus.select(F.explode(toks).alias("term"), lang_col, id_col, order_col)
 
 
+def lookup_phrases(terms: DataFrame, index: DataFrame, corpus: DataFrame, key_cols, lang_col: str = "language",
+                   id_col: str = "corpus_id", text_col: str = "content") -> DataFrame:
+    """R2 for terms of several words: the corpus files that hold the words of a phrase one after another.
+
+    A phrase's least frequent word picks the files (an equi-join with its postings), whose text is then searched;
+    white space of any length counts as one space."""
+    phrases = terms.where(F.col("term").rlike(T.WHITE)).withColumn("phrase", F.trim(T.rx_replace("term", T.WHITE + "+", " ")))
+    phrases = phrases.select(*key_cols, lang_col, "phrase")
+    distinct = phrases.select(lang_col, "phrase").distinct()
+    words = distinct.select(lang_col, "phrase", F.explode(F.regexp_extract_all("phrase", F.lit(TOKEN), F.lit(0))).alias("term"))
+    rarest = words.join(term_df(index, lang_col), ["term", lang_col]).groupBy(lang_col, "phrase").agg(F.min(F.struct("df", "term")).alias("r"))
+    files = rarest.select(lang_col, "phrase", F.col("r.term").alias("term")).join(index.select("term", lang_col, id_col), ["term", lang_col])
+    text = corpus.select(id_col, T.rx_replace(text_col, T.WHITE + "+", " ").alias("flat"))
+    found = files.join(text, id_col).where(F.col("flat").contains(F.col("phrase"))).select(lang_col, "phrase", id_col)
+    return phrases.join(found, [lang_col, "phrase"])
+
+
 def term_df(index: DataFrame, lang_col: str = "language") -> DataFrame:
     """Corpus document frequency per (term, language) — partial aggregation map-side."""
     return index.groupBy("term", lang_col).agg(F.count(F.lit(1)).cast("long").alias("df"))
@@ -35,7 +52,7 @@ def newest_postings(index: DataFrame, k: int | None, lang_col: str = "language",
     return p if k is None else p.where(F.col("hit_rank") <= k)
 
 
-def lookup_terms(terms: DataFrame, index: DataFrame, key_cols, k: int | None = C.HITS_PER_TERM,
+def lookup_terms(terms: DataFrame, index: DataFrame, key_cols, k: int | None = None,
                  self_col: str | None = None, lang_col: str = "language", id_col: str = "corpus_id",
                  order_col: str = "indexed_at") -> DataFrame:
     """R2: inner equi-join of (unit, term, language) with the newest postings of the

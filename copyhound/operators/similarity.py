@@ -106,7 +106,7 @@ def gram_similarity(left: DataFrame, right: DataFrame | None, left_id: str, righ
 
 # --- X3 / X4 ----------------------------------------------------------------
 def _pattern_set(code: Column, patterns) -> Column:
-    parts = [F.regexp_extract_all(code, F.lit(p), F.lit(0)) for p in patterns]
+    parts = [F.regexp_extract_all(code, F.lit(T.unicode_classes(p)), F.lit(0)) for p in patterns]
     return F.array_distinct(F.concat(*parts))
 
 

@@ -78,9 +78,9 @@ def candidate_terms(code, language) -> Column:
 
 
 def select_terms(units: DataFrame, key_cols, code_col: str, lang_col: str, term_df: DataFrame | None = None,
-                 n: int = C.TERMS_PER_TEXT) -> DataFrame:
-    """T5: one row per (unit, term) with term_rank 1..n, rarest in the corpus first
-    (terms absent from the corpus last), then alphabetical (deterministic)."""
+                 n: int | None = None) -> DataFrame:
+    """T5: one row per (unit, term) with term_rank 1..n (default: all), rarest in the corpus
+    first (terms absent from the corpus last), then alphabetical (deterministic)."""
     t = units.select(*key_cols, lang_col, F.explode(candidate_terms(code_col, lang_col)).alias("term"))
     if term_df is not None:
         t = t.join(term_df.select("term", F.col(lang_col), "df"), ["term", lang_col], "left")
@@ -95,11 +95,10 @@ def select_terms(units: DataFrame, key_cols, code_col: str, lang_col: str, term_
 
 
 # --- T6 ---------------------------------------------------------------------
-def line_queries(text, language) -> Column:
-    """Web line queries: stripped lines >20 chars not starting with a skip prefix, that
-    carry a keyword or are >30 chars; the 4 longest (stable), each + ' ' + language;
-    else the first 3 stripped lines >15 chars."""
-    lang = T._c(language)
+def query_lines(text, n: int | None = None, n_fallback: int | None = None) -> Column:
+    """Lines worth looking up: stripped lines >20 chars not starting with a skip prefix, that carry a keyword or are
+    >30 chars, longest first (stable); without any, stripped lines >15 chars in order. ``n`` and ``n_fallback`` keep the
+    first ones (the reference's budgets: C.LINE_QUERIES_PER_TEXT, C.FALLBACK_LINE_QUERIES; default: all)."""
     lines = F.transform(F.split(T._c(text), "\n"), lambda l: T.py_strip(l))
 
     def cand(l):
@@ -113,11 +112,14 @@ def line_queries(text, language) -> Column:
             kw = c if kw is None else (kw | c)
         return (F.length(l) > 20) & ~skip & (kw | (F.length(l) > 30))
 
-    idx = F.transform(lines, lambda l, i: F.struct(F.length(l).alias("len"), i.alias("pos"), l.alias("line")))
-    cands = F.filter(idx, lambda x: cand(x["line"]))
-    ordered = F.array_sort(cands, lambda a, b: F.when(a["len"] > b["len"], -1).when(a["len"] < b["len"], 1)
-                           .otherwise(F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)))
-    top = F.transform(F.slice(ordered, 1, C.LINE_QUERIES_PER_TEXT), lambda x: x["line"])
-    fallback = F.slice(F.filter(lines, lambda l: F.length(l) > 15), 1, C.FALLBACK_LINE_QUERIES)
-    chosen = F.when(F.size(top) > 0, top).otherwise(fallback)
-    return F.transform(chosen, lambda q: F.concat(q, F.lit(" "), lang))
+    cut = lambda a, m: a if m is None else F.slice(a, 1, m)
+    idx = F.transform(lines, lambda l, i: F.struct((-F.length(l)).alias("minus"), i.alias("pos"), l.alias("line")))
+    ordered = F.sort_array(F.filter(idx, lambda x: cand(x["line"])))
+    top = F.transform(cut(ordered, n), lambda x: x["line"])
+    fallback = cut(F.filter(lines, lambda l: F.length(l) > 15), n_fallback)
+    return F.when(F.size(top) > 0, top).otherwise(fallback)
+
+
+def line_queries(text, language, n: int | None = None, n_fallback: int | None = None) -> Column:
+    """Web line queries: the lines with the language after them."""
+    return F.transform(query_lines(text, n, n_fallback), lambda q: F.concat(q, F.lit(" "), T._c(language)))

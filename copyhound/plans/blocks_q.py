@@ -24,7 +24,7 @@ def nl_sql(x: str) -> str:
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
 
 
 def regex_blocks_sql(src: str, pattern: str, block_type: str, place: int = 0, keep: str = "true") -> str:
@@ -66,7 +66,7 @@ lines AS (
     regexp_extract(t, '{B.PY_LOGIC}', 1) AS logic, regexp_extract(t, '{B.PY_LOGIC}', 1) = 'elif' OR regexp_matches(t, '{B.PY_ELSE}') AS part,
     CAST(regexp_matches(t, '{B.PY_EXCEPT}') AS INTEGER) AS exc
   FROM (SELECT path, i - 1 AS i, ls[i] AS t FROM (SELECT path, string_split(clean, chr(10)) AS ls FROM files) f, range(1, len(ls) + 1) r(i)) x
-  WHERE regexp_matches(t, '\\S')),
+  WHERE regexp_matches(t, '[^{T.WHITE[1:]}')),
 at0 AS (
   SELECT l.*, v.level, ind <= level AS near, ind = level AS same, ind <= level AND NOT (ind = level AND part) AS start,
     sum(CASE WHEN ind = level AND logic = 'elif' THEN 1 ELSE 0 END) OVER (PARTITION BY path, level ORDER BY i) AS elifs

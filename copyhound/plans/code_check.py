@@ -1,15 +1,17 @@
 """check_code (X7): files -> blocks -> terms -> index lookup -> candidate blocks ->
-score -> floor -> best per url -> top-10, over the code views.
+score -> floor -> best per url -> top-10, over the code views; and the whole-file path (X6).
 
-Submissions and corpus are the whole code table; a file never matches its own
-corpus entry. Terms are looked up in the token index built from the corpus; each
-term returns its ``HITS_PER_TERM`` newest postings (the search semantics)."""
+Submissions and corpus are the whole code table; a file never matches its own corpus entry. Terms are looked up in the
+token index built from the corpus. Budgets are parameters, unlimited by default; the registered queries run with
+``C.REFERENCE_BUDGET`` (see the README for why)."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 from copyhound import config as C
 from copyhound.functions import text as T
@@ -19,6 +21,7 @@ from copyhound.operators import report as R
 from copyhound.operators import terms as TM
 from copyhound.operators.similarity import best_block_match, pair_similarity
 from copyhound.plans import code_views as V
+from copyhound.session import scratch_path
 from copyhound.sources.tables import read_table
 
 REPO_SQL = "concat('repo', p_partkey % 120)"
@@ -46,34 +49,44 @@ def submitted_files(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
     return V.code_files(spark, sf_dir, langs).select("path", "language", "code", F.col("path").alias("self_id"))
 
 
-def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(),
-               hits_per_term: int | None = C.HITS_PER_TERM, token_k: int = 3) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again."""
+    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex[:8]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def score_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey, rkey, token_k: int) -> DataFrame:
+    """pairs with ``similarity`` (X1 on token grams) of left (lkey, norm) and right (rkey, norm). Every pair of different
+    normalized texts is scored once, however many files share them."""
+    l = left.select(*lkey, F.md5("norm").alias("lmd"), "norm")
+    r = right.select(*rkey, F.md5("norm").alias("rmd"), "norm")
+    both = pairs.join(l.drop("norm"), list(lkey)).join(r.drop("norm"), list(rkey))
+    texts = lambda d, c: d.groupBy(c).agg(F.first("norm").alias("norm"))
+    scored = pair_similarity(both.select("lmd", "rmd").distinct(), texts(l, "lmd"), texts(r, "rmd"), "lmd", "rmd", k=token_k, unit="token")
+    return both.join(scored.select("lmd", "rmd", "similarity"), ["lmd", "rmd"]).drop("lmd", "rmd")
+
+
+def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(), token_k: int = 3) -> DataFrame:
     """Code matches per file: path, url, repository, file_path, license, similarity,
     original_block, matched_block, block_type, match_rank."""
     key = ["path"]
-    # block rows feed terms, scoring and the report: extracted once per job and kept
-    # (MEMORY_AND_DISK; a lost executor recomputes its partitions from the lineage)
-    fblocks = (B.block_rows(files, key).withColumn("norm", T.normalize("code", "language"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    cblocks = (B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
-               .withColumn("norm", T.normalize("code", "language")).persist(StorageLevel.MEMORY_AND_DISK))
+    # block rows feed terms, scoring and the report: extracted once and kept as tables
+    fblocks = kept(B.block_rows(files, key).withColumn("norm", T.normalize("code", "language")), "file-blocks")
+    cblocks = kept(B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
+                   .withColumn("norm", T.normalize("code", "language")), "corpus-blocks")
     index = L.build_term_index(corpus)
-    dfs = L.term_df(index)
-    terms = TM.select_terms(fblocks, [*key, "block_id"], "code", "language", dfs)
+    terms = TM.select_terms(fblocks, [*key, "block_id"], "code", "language", L.term_df(index), cfg.terms_per_text)
     if cfg.max_terms_per_block is not None:
         terms = terms.where(F.col("term_rank") <= cfg.max_terms_per_block)
     if cfg.max_blocks_per_file is not None:
         keep = fblocks.where(F.col("block_rank") <= cfg.max_blocks_per_file).select(*key, "block_id")
         terms = terms.join(keep, [*key, "block_id"], "left_semi")
     selfs = files.select(*key, "self_id")
-    hits = L.lookup_terms(terms.join(selfs, key), index, [*key, "block_id"], hits_per_term, self_col="self_id")
+    hits = L.lookup_terms(terms.join(selfs, key), index, [*key, "block_id"], cfg.hits_per_term, self_col="self_id")
     pairs = L.hit_block_pairs(hits, cblocks, [*key, "block_id"])
-
-    left = fblocks.select(F.concat_ws("#", "path", F.col("block_id").cast("string")).alias("lkey"), "norm")
-    right = cblocks.select(F.concat_ws("#", "corpus_id", F.col("block_id").cast("string")).alias("rkey"), "norm")
-    pairs = (pairs.withColumn("lkey", F.concat_ws("#", "path", F.col("block_id").cast("string")))
-             .withColumn("rkey", F.concat_ws("#", "corpus_id", F.col("cblock_id").cast("string"))))
-    scored = pair_similarity(pairs, left, right, "lkey", "rkey", k=token_k, unit="token")
+    scored = score_texts(pairs, fblocks.select(*key, "block_id", "norm"), cblocks.select("corpus_id", F.col("block_id").alias("cblock_id"), "norm"),
+                         [*key, "block_id"], ["corpus_id", "cblock_id"], token_k)
     best = best_block_match(scored, [*key, "block_id", "corpus_id"])
     if cfg.extra.get("stage") == "best":
         return best
@@ -89,12 +102,27 @@ def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.Check
                       F.col("original_block"), F.col("cname").alias("matched_block"), "block_type", "match_rank")
 
 
+def check_files(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.FALLBACK_BUDGET, token_k: int = 3) -> DataFrame:
+    """Matches of whole files, for files without a block match. Both sides are B8's text, normalized; terms are those
+    of the whole file, with five hits each in the reference's budget."""
+    mine = files.select("path", "language", "self_id", B.fallback_block("code").alias("code"))
+    theirs = corpus.select("corpus_id", "language", B.fallback_block("content").alias("code"))
+    index = L.build_term_index(corpus)
+    terms = TM.select_terms(mine, ["path"], "code", "language", L.term_df(index), cfg.terms_per_text)
+    hits = L.lookup_terms(terms.join(mine.select("path", "self_id"), "path"), index, ["path"], cfg.hits_per_term, self_col="self_id")
+    norm = lambda d, k: d.select(k, T.normalize("code", "language").alias("norm"))
+    scored = score_texts(hits.select("path", "corpus_id").distinct(), norm(mine, "path"), norm(theirs, "corpus_id"), ["path"], ["corpus_id"], token_k)
+    best = R.match_floor(scored, "code", floor=cfg.code_floor).join(corpus.select("corpus_id", "url", "repository", "license"), "corpus_id")
+    top = R.top_matches(R.dedup_url(best, ["path"], "url", tiebreak=["corpus_id"]), ["path"], cfg.top_code, tiebreak=["url"])
+    return top.select("path", "url", "repository", "license", "similarity", "match_rank")
+
+
 def code_matches(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
-    return check_code(submitted_files(spark, sf_dir, langs), corpus_files(spark, sf_dir, langs))
+    return check_code(submitted_files(spark, sf_dir, langs), corpus_files(spark, sf_dir, langs), C.REFERENCE_BUDGET)
 
 
 def best_matches(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
     """X5 output: best candidate block per (block, corpus file), before the floor."""
-    cfg = C.CheckConfig(extra={"stage": "best"})
+    cfg = replace(C.REFERENCE_BUDGET, extra={"stage": "best"})
     b = check_code(submitted_files(spark, sf_dir, langs), corpus_files(spark, sf_dir, langs), cfg)
     return b.select("path", "block_id", "corpus_id", F.col("cname").alias("matched_block"), "similarity")

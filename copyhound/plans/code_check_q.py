@@ -38,7 +38,7 @@ def nonempty(x: str) -> str:
 
 def terms_python_sql(c: str) -> str:
     imports = (f"list_filter(list_transform(flatten(list_transform({ex(c, TM.PY_IMPORT, 2)}, "
-               f"lambda x: string_split(x, ','))), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')")
+               f"lambda x: string_split(x, ','))), lambda x: regexp_replace(x, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')), lambda x: x <> '')")
     words = f"flatten(list_transform({ex(c, TM.PY_STRING)}, lambda s: regexp_extract_all(s, '{q(TM.WORD4)}', 0)))"
     assigns = f"list_filter({ex(c, TM.PY_ASSIGN)}, lambda x: length(x) > 2)"
     return (f"list_concat({ex(c, TM.PY_DEF)}, {ex(c, TM.PY_CLASS)}, {nonempty(ex(c, TM.PY_IMPORT, 1))}, {imports}, "
@@ -88,8 +88,8 @@ FROM {V.code_files_sql(langs)} c LEFT JOIN
 
 
 def index_sql(langs=None) -> str:
-    tok = (f"list_distinct(list_concat(regexp_extract_all(content, '{L.TOKEN}', 0), "
-           f"regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*', 0)))")
+    a, b, c = (f"regexp_extract_all(content, '{p}', 0)" for p in (L.TOKEN, *L.PARTS))
+    tok = f"list_distinct(list_concat(list_concat({a}, {b}), {c}))"
     return f"(SELECT unnest({tok}) AS term, language, corpus_id, indexed_at FROM {corpus_sql(langs)} co)"
 
 
@@ -171,7 +171,7 @@ def q_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = CC.submitted_files(spark, sf_dir, LANGS4)
     fb = B.block_rows(f, ["path"])
     dfs = L.term_df(L.build_term_index(CC.corpus_files(spark, sf_dir, LANGS4)))
-    return TM.select_terms(fb, ["path", "block_id"], "code", "language", dfs).select("path", "block_id", "term", "term_rank")
+    return TM.select_terms(fb, ["path", "block_id"], "code", "language", dfs, C.TERMS_PER_TEXT).select("path", "block_id", "term", "term_rank")
 
 
 @register("r2_lookup_terms", chain_sql("SELECT path, CAST(block_id AS INTEGER) AS block_id, term, corpus_id, CAST(hit_rank AS INTEGER) AS hit_rank FROM hits"))
@@ -179,7 +179,7 @@ def q_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = CC.submitted_files(spark, sf_dir, LANGS4)
     fb = B.block_rows(f, ["path"])
     index = L.build_term_index(CC.corpus_files(spark, sf_dir, LANGS4))
-    terms = TM.select_terms(fb, ["path", "block_id"], "code", "language", L.term_df(index))
+    terms = TM.select_terms(fb, ["path", "block_id"], "code", "language", L.term_df(index), C.TERMS_PER_TEXT)
     hits = L.lookup_terms(terms.join(f.select("path", "self_id"), "path"), index, ["path", "block_id"],
                           C.HITS_PER_TERM, self_col="self_id")
     return hits.select("path", "block_id", "term", "corpus_id", "hit_rank")
@@ -192,7 +192,7 @@ def q_r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     fb = B.block_rows(f, ["path"])
     cb = B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
     index = L.build_term_index(corpus)
-    terms = TM.select_terms(fb, ["path", "block_id"], "code", "language", L.term_df(index))
+    terms = TM.select_terms(fb, ["path", "block_id"], "code", "language", L.term_df(index), C.TERMS_PER_TEXT)
     hits = L.lookup_terms(terms.join(f.select("path", "self_id"), "path"), index, ["path", "block_id"],
                           C.HITS_PER_TERM, self_col="self_id")
     return L.hit_block_pairs(hits, cb, ["path", "block_id"]).select("path", "block_id", "corpus_id", "cblock_id")
@@ -214,3 +214,52 @@ def q_r10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("x5_best_block_match", chain_sql("SELECT path, CAST(block_id AS INTEGER) AS block_id, corpus_id, cname AS matched_block, similarity FROM best"))
 def q_x5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CC.best_matches(spark, sf_dir, LANGS4)
+
+
+# --- R2 for phrases -------------------------------------------------------------
+@register("r2_lookup_phrases", f"""
+WITH t AS (SELECT DISTINCT language, trim(regexp_replace(term, '{T.WHITE}+', ' ', 'g')) AS phrase
+           FROM (SELECT language, unnest({candidate_terms_sql('code', 'language')}) AS term FROM {V.code_files_sql()} c) x WHERE regexp_matches(term, '{T.WHITE}')),
+co AS (SELECT corpus_id, language, regexp_replace(content, '{T.WHITE}+', ' ', 'g') AS flat FROM {corpus_sql()} c)
+SELECT language, phrase, CAST(count(*) AS BIGINT) AS n_files, min(corpus_id) AS first_file FROM t JOIN co USING (language) WHERE contains(flat, phrase) GROUP BY ALL""")
+def q_r2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import terms that span several words, found as phrases: each distinct phrase with the files that hold it."""
+    files = V.code_files(spark, sf_dir)
+    corpus = CC.corpus_files(spark, sf_dir)
+    terms = files.select("language", F.explode(TM.candidate_terms("code", "language")).alias("term")).distinct()
+    hits = L.lookup_phrases(terms, L.build_term_index(corpus), corpus, []).distinct()
+    return hits.groupBy("language", "phrase").agg(F.count(F.lit(1)).cast("long").alias("n_files"), F.min("corpus_id").alias("first_file"))
+
+
+# --- X6: whole files --------------------------------------------------------------
+def files_sql() -> str:
+    from copyhound.plans.blocks_q import strip_sql
+    keep = " OR ".join(f"starts_with({strip_sql('l')}, '{p}')" for p in C.FALLBACK_SKIP_PREFIXES)
+    body = lambda x: f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT ({keep})), chr(10))"
+    toks = lambda x: f"regexp_extract_all({x}, '{q(T.CODE_TOKEN)}', 0)"
+    grams = lambda x: f"list_transform(range(1, len({toks(x)}) - 1), lambda i: array_to_string({toks(x)}[i:i + 2], ' '))"
+    k = C.HITS_PER_TERM_FALLBACK
+    return f"""
+WITH f0 AS (SELECT path, language, {body('code')} AS code FROM {V.code_files_sql()} c),
+f AS (SELECT *, {normalize_sql('code', 'language')} AS norm FROM f0),
+ix AS {index_sql()}, dfs AS (SELECT term, language, count(*) AS df FROM ix GROUP BY ALL),
+ct AS (SELECT path, language, unnest({candidate_terms_sql('code', 'language')}) AS term FROM f0),
+tr AS (SELECT ct.*, row_number() OVER (PARTITION BY path ORDER BY coalesce(df, {2 ** 62}), term) AS r FROM ct LEFT JOIN dfs USING (term, language)),
+post AS (SELECT *, row_number() OVER (PARTITION BY term, language ORDER BY indexed_at DESC, corpus_id) AS hit_rank FROM ix),
+hj AS (SELECT tr.path, tr.term, post.corpus_id, post.hit_rank FROM tr JOIN post USING (term, language)
+       WHERE r <= {C.TERMS_PER_TEXT} AND trim(tr.term) <> '' AND post.hit_rank <= {k + 1} AND tr.path <> post.corpus_id),
+pairs AS (SELECT DISTINCT path, corpus_id FROM (SELECT *, row_number() OVER (PARTITION BY path, term ORDER BY hit_rank) AS n FROM hj) WHERE n <= {k}),
+g AS (SELECT path, g, count(*) AS c FROM (SELECT path, unnest({grams('norm')}) AS g FROM f) GROUP BY ALL),
+t AS (SELECT path, greatest(len({toks('norm')}) - 2, 0) AS n FROM f),
+sh AS (SELECT p.path, p.corpus_id, sum(least(a.c, b.c)) AS s FROM pairs p JOIN g a ON a.path = p.path JOIN g b ON b.path = p.corpus_id AND b.g = a.g GROUP BY ALL),
+sc AS (SELECT p.*, CASE WHEN x.n + y.n > 0 THEN 2 * coalesce(s, 0) / (x.n + y.n) ELSE 0.0 END AS similarity
+       FROM pairs p JOIN t x ON x.path = p.path JOIN t y ON y.path = p.corpus_id LEFT JOIN sh ON sh.path = p.path AND sh.corpus_id = p.corpus_id),
+fl AS (SELECT sc.*, url, repository, license FROM sc JOIN {corpus_sql()} co USING (corpus_id) WHERE similarity >= {C.CODE_MATCH_FLOOR}),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, url ORDER BY similarity DESC, corpus_id) AS u FROM fl) WHERE u = 1)
+SELECT path, url, repository, license, similarity, CAST(match_rank AS INTEGER) AS match_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, url) AS match_rank FROM dd) WHERE match_rank <= {C.TOP_CODE_MATCHES}"""
+
+
+@register("x6_whole_file_match", files_sql())
+def q_x6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CC.check_files(CC.submitted_files(spark, sf_dir), CC.corpus_files(spark, sf_dir))

@@ -13,14 +13,14 @@ from copyhound.sources.tables import read_table
 
 # --- DuckDB fragments (RE2: no look-behind, so N2 is the quote-free form) ----
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
 
 
 def curly_sql(x: str) -> str:
     y = f"regexp_replace({x}, '(?m)//.*?$', '', 'g')"
     y = f"regexp_replace({y}, '(?s)/\\*.*?\\*/', '', 'g')"
     y = f"regexp_replace({y}, '[ \\t]+', ' ', 'g')"
-    y = f"regexp_replace({y}, '\\n\\s*\\n', chr(10), 'g')"
+    y = f"regexp_replace({y}, '\\n{T.WHITE}*\\n', chr(10), 'g')"
     return strip_sql(y)
 
 
@@ -29,7 +29,7 @@ def python_sql(x: str) -> str:
     y = f"regexp_replace({y}, '(?s)\"\"\".*?\"\"\"', '', 'g')"
     y = f"regexp_replace({y}, '(?s)''''''.*?''''''', '', 'g')"
     y = f"regexp_replace({y}, '[ \\t]+', ' ', 'g')"
-    y = f"regexp_replace({y}, '\\n\\s*\\n', chr(10), 'g')"
+    y = f"regexp_replace({y}, '\\n{T.WHITE}*\\n', chr(10), 'g')"
     return strip_sql(y)
 
 

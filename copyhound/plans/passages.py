@@ -75,13 +75,8 @@ def passage_overall_report(spark: SparkSession, sf_dir: str, cfg: C.CheckConfig
 # ---------------------------------------------------------------------------
 # DuckDB oracles
 # ---------------------------------------------------------------------------
-NORM_GENERIC_SQL = (
-    "trim(regexp_replace(regexp_replace({x}, '(?ms)//.*?$|/\\*.*?\\*/', '', 'g'), '\\s+', ' ', 'g'))"
-)
-
-
 def norm_generic_sql(x: str) -> str:
-    return NORM_GENERIC_SQL.format(x=x)
+    return f"trim(regexp_replace(regexp_replace({x}, '(?ms)//.*?$|/\\*.*?\\*/', '', 'g'), '{T.WHITE}+', ' ', 'g'))"
 
 
 def _words_sql(x: str) -> str:
