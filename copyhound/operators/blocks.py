@@ -238,6 +238,63 @@ def python_blocks(files: DataFrame, key_cols, code_col: str = "code") -> DataFra
     return files.join(heads, keys).select(*keys, T.let(F.split(code_col, "\n"), build).alias("blocks"))
 
 
+# --- B9 ---------------------------------------------------------------------
+# FIXED VALUES (ours): block heads up to their opening brace, by language: (type, pattern), the name in group 1
+BALANCED_HEADS = {
+    "javascript": [("function", rf"function\s+({_JSID})\s*\([^)]*\)\s*\{{"),
+                   ("arrow_function", rf"(?:const|let|var)\s+({_JSID})\s*=\s*(?:\([^)]*\)|{_JSID})\s*=>\s*\{{"),
+                   ("class", rf"class\s+({_JSID})\s*(?:extends\s+{_JSID}\s*)?\{{"),
+                   ("method", rf"({_JSID})\s*\([^)]*\)\s*\{{")],
+    "java": [("class", rf"class\s+({_ID})\s*(?:extends\s+{_ID}\s*)?(?:implements\s+[a-zA-Z0-9_,\s]+)?\{{"),
+             ("method", rf"({_ID})\s*\([^)]*\)\s*(?:throws\s+[a-zA-Z0-9_,\s]+)?\{{")],
+    "c": [("function", rf"({_ID})\s*\([^)]*\)\s*\{{")],
+}
+CONTROL_WORDS = ["if", "for", "while", "switch", "catch", "function", "return"]
+
+
+def balanced_blocks(files: DataFrame, key_cols, code_col: str = "clean", lang_col: str = "language") -> DataFrame:
+    """Blocks from their head to the brace that closes it: keys, block_type, name, code, line_start.
+
+    Braces are rows with a running depth, and an open brace at a depth is closed by the next close brace that leads out
+    of it. Heads are matched up to their open brace, so blocks inside blocks are found too. A method is a head whose
+    enclosing brace opens a class, named Class.method; a function stands in no class. An unclosed block isn't one."""
+    keys = list(key_cols)
+    upto = lambda *by: Window.partitionBy(*keys, *by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+
+    def placed(df: DataFrame, pattern: str) -> DataFrame:
+        """keys, clean, k, m, start: the matches of a pattern and where they begin (0-based)."""
+        found = F.regexp_extract_all(code_col, F.lit(pattern), F.lit(0))
+        gaps = F.slice(F.split(code_col, pattern, -1), F.lit(1), F.size(found))
+        rows = df.select(*keys, lang_col, F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("m"))).alias("k", "z"))
+        ends = F.sum(F.length("z.gap") + F.length("z.m")).over(upto())
+        lines = F.sum(newlines(F.col("z.gap")) + newlines(F.col("z.m"))).over(upto())
+        return rows.select(*keys, lang_col, "k", F.col("z.m").alias("m"), (ends - F.length("z.m")).alias("start"), ends.alias("stop"),
+                           (1 + lines - newlines(F.col("z.m"))).alias("line_start"))
+
+    opens = F.col("m") == "{"
+    braces = placed(files, r"[{}]").withColumn("depth", F.sum(F.when(opens, 1).otherwise(-1)).over(upto()))
+    braces = braces.withColumn("level", F.when(F.col("m") == "{", F.col("depth")).otherwise(F.col("depth") + 1))
+    braces = braces.withColumn("closed", F.lead("start").over(Window.partitionBy(*keys, "level").orderBy("k")))
+    blocks = braces.where("m = '{'").select(*keys, F.col("start").alias("brace"), "closed", "level")
+    heads = None
+    for language, kinds in BALANCED_HEADS.items():
+        part = files.where(F.col(lang_col) == language)
+        for kind, pattern in kinds:
+            h = placed(part, pattern).select(*keys, F.lit(kind).alias("block_type"), F.regexp_extract("m", pattern, 1).alias("name"),
+                                             "start", (F.col("stop") - 1).alias("brace"), "line_start")
+            heads = h if heads is None else heads.unionByName(h)
+    found = heads.where(~F.col("name").isin(CONTROL_WORDS)).join(blocks, [*keys, "brace"]).where("closed is not null")
+    classes = found.where("block_type = 'class'").select(*keys, F.col("name").alias("owner"), F.col("brace").alias("from"), F.col("closed").alias("to"), (F.col("level") + 1).alias("level"))
+    inner = found.join(classes, [*keys, "level"], "left").where("owner is null or (brace > `from` and brace < `to`)")
+    lone = found.join(inner.select(*keys, "brace").distinct(), [*keys, "brace"], "left_anti").withColumn("owner", F.lit(None).cast("string"))
+    both = inner.select(*lone.columns).unionByName(lone)
+    own = both.where((F.col("block_type") != "method") | F.col("owner").isNotNull()).where((F.col("block_type") != "function") | F.col("owner").isNull())
+    named = F.when(F.col("block_type") == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
+    text = files.select(*keys, F.col(code_col).alias("whole"))
+    return own.join(text, keys).select(*keys, "block_type", named.alias("name"), F.col("line_start").cast("int").alias("line_start"),
+                                       F.substr("whole", (F.col("start") + 1).cast("int"), (F.col("closed") - F.col("start") + 1).cast("int")).alias("code"))
+
+
 # --- B8 ---------------------------------------------------------------------
 def fallback_block(code) -> Column:
     """Lines that are not blank, comments or imports, kept unstripped."""

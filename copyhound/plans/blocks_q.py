@@ -168,6 +168,43 @@ def q_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("path", "b.name", "b.code", "b.line_start")
 
 
+def placed_sql(name: str, src: str, pattern: str) -> str:
+    """CTE of a pattern's matches and where they begin."""
+    p = _q(pattern)
+    return f"""{name} AS (SELECT path, k, m, CAST(sum(length(gap) + length(m)) OVER w AS BIGINT) - length(m) AS start, CAST(sum(length(gap) + length(m)) OVER w AS BIGINT) AS stop,
+  1 + sum({nl_sql('gap')} + {nl_sql('m')}) OVER w - {nl_sql('m')} AS line_start
+  FROM (SELECT path, k, regexp_split_to_array(clean, '{p}')[k] AS gap, regexp_extract_all(clean, '{p}', 0)[k] AS m
+        FROM {src} s, range(1, len(regexp_extract_all(clean, '{p}', 0)) + 1) r(k)) WINDOW w AS (PARTITION BY path ORDER BY k))"""
+
+
+def balanced_sql() -> str:
+    ctes, heads = [], []
+    for language, kinds in B.BALANCED_HEADS.items():
+        for kind, pattern in kinds:
+            name = f"h_{language}_{kind}"
+            ctes.append(placed_sql(name, f"(SELECT * FROM f WHERE language = '{language}')", pattern))
+            heads.append(f"SELECT path, '{kind}' AS block_type, regexp_extract(m, '{_q(pattern)}', 1) AS name, start, stop - 1 AS brace, line_start FROM {name}")
+    words = ", ".join(f"'{w}'" for w in B.CONTROL_WORDS)
+    return f"""
+WITH f AS (SELECT path, language, {strip_comments_sql('code', 'language')} AS clean FROM {V.code_files_sql(list(B.BALANCED_HEADS))} c),
+{placed_sql('br', 'f', '[{}]')},
+dp AS (SELECT *, sum(CASE WHEN m = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY k) + CASE WHEN m = '{{' THEN 0 ELSE 1 END AS level FROM br),
+cl AS (SELECT path, m, start AS brace, level, lead(start) OVER (PARTITION BY path, level ORDER BY k) AS closed FROM dp),
+{", ".join(ctes)},
+hd AS ({" UNION ALL ".join(heads)}),
+fd AS (SELECT hd.*, closed, level FROM hd JOIN cl USING (path, brace) WHERE m = '{{' AND closed IS NOT NULL AND name NOT IN ({words})),
+ow AS (SELECT a.*, c.name AS owner FROM fd a LEFT JOIN fd c ON c.path = a.path AND c.block_type = 'class' AND a.level = c.level + 1 AND a.brace > c.brace AND a.brace < c.closed)
+SELECT path, block_type, CASE WHEN block_type = 'method' THEN owner || '.' || name ELSE name END AS name, CAST(line_start AS INTEGER) AS line_start,
+  substring(clean, start + 1, closed - start + 1) AS code
+FROM ow JOIN f USING (path) WHERE (block_type <> 'method' OR owner IS NOT NULL) AND (block_type <> 'function' OR owner IS NULL)"""
+
+
+@register("b9_blocks_balanced", balanced_sql())
+def q_b9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.code_files(spark, sf_dir, list(B.BALANCED_HEADS)).select("path", "language", T.strip_comments("code", "language").alias("clean"))
+    return B.balanced_blocks(f, ["path"])
+
+
 @register("b8_blocks_fallback", f"""
 SELECT path, array_to_string(list_filter(string_split(code, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT ("""
           + " OR ".join(f"starts_with({strip_sql('l')}, '{p}')" for p in C.FALLBACK_SKIP_PREFIXES)

@@ -83,3 +83,21 @@ def test_generic_paragraphs(spark):
     df = spark.createDataFrame([(1, "go", go)], "id int, language string, code string")
     rows = B.block_rows(df, ["id"]).collect()
     assert [(r.name, r.code, r.line_start) for r in rows] == [("block_0", "a\nb\nc", 1)]
+
+
+def test_balanced_blocks(spark):
+    js = ("function foo(a) {\n  if (a) { return {x: 1}; }\n  function bar(b) { return b; }\n}\n"
+          "class K extends L {\n  run(n) { return { n }; }\n  stop() {}\n}\nconst f = (x) => { return x; };\nfunction open(z) {")
+    c = "static int one(int a) { while (a) { a--; } return a; }\nint two(void) {\n}"
+    df = spark.createDataFrame([(1, "javascript", js), (2, "c", c)], "id int, language string, clean string")
+    got = {(r.block_type, r.name): (r.line_start, r.code) for r in B.balanced_blocks(df, ["id"]).collect()}
+    assert got == {
+        ("function", "foo"): (1, "function foo(a) {\n  if (a) { return {x: 1}; }\n  function bar(b) { return b; }\n}"),
+        ("class", "K"): (5, "class K extends L {\n  run(n) { return { n }; }\n  stop() {}\n}"),
+        ("method", "K.run"): (6, "run(n) { return { n }; }"),
+        ("method", "K.stop"): (7, "stop() {}"),
+        ("arrow_function", "f"): (9, "const f = (x) => { return x; }"),
+        ("function", "one"): (1, "one(int a) { while (a) { a--; } return a; }"),
+        ("function", "two"): (2, "two(void) {\n}"),
+        ("function", "bar"): (3, "function bar(b) { return b; }"),
+    }
