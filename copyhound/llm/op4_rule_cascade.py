@@ -27,14 +27,9 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BREAK))
 
 
-def _shifted(h: Column, by: int) -> Column:
-    return F.slice(h, F.lit(by + 1), F.greatest(F.size(h) - by, F.lit(0)))
-
-
 def _pairwise(h: Column, by: int) -> Column:
-    """One hash for each place and the one `by` further on."""
-    n = F.greatest(F.size(h) - by, F.lit(0))
-    return F.zip_with(F.slice(h, F.lit(1), n), _shifted(h, by), lambda a, b: F.xxhash64(a, b))
+    """One hash for each place and the one `by` further on; a place without one is hashed alone."""
+    return F.zip_with(h, F.slice(h, F.lit(by + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
 
 
 def _let(value: Column, use) -> Column:
@@ -42,12 +37,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def repeated_words(ws: Column) -> Column:
-    """The number of words that lie in a window of WINDOW words found twice or more.
+def word_counts(ws: Column) -> Column:
+    """struct(distinct: different words, repeated: words that lie in a window of WINDOW words found twice or more).
 
-    Windows are compared by 64-bit hashes, doubled in width three times; only a text with equal ones sorts them."""
-    single = F.transform(ws, lambda w: F.xxhash64(w))
-    windows = _let(_let(_let(single, lambda h: _pairwise(h, 1)), lambda h: _pairwise(h, 2)), lambda h: _pairwise(h, 4))
+    Windows are compared by 64-bit hashes, doubled in width three times. A text whose windows of half the width all
+    differ has no equal ones; only a text with equal whole windows sorts them. (The places near the end hold shorter
+    windows, each of a width of its own, so none of them equals another.)"""
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -61,25 +56,32 @@ def repeated_words(ws: Column) -> Column:
         return _let(places, lambda p: F.aggregate(sizes(p), F.lit(0).cast("long"), lambda a, x: a + x))
 
     none = F.lit(0).cast("long")
-    return _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)))
+    differ = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+    whole = lambda h: F.when(differ(h), none).otherwise(covered(h))
+    half = lambda h: F.when(differ(h), none).otherwise(_let(_pairwise(h, 4), whole))
+    repeated = lambda h: F.when(F.size(h) > WINDOW, _let(_pairwise(_let(h, lambda x: _pairwise(x, 1)), 2), half)).otherwise(none)
+    return _let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.struct(
+        F.size(F.array_distinct(h)).cast("long").alias("distinct"), repeated(h).alias("repeated")))
+
+
+def _count(text: Column, class_: str) -> Column:
+    """The number of characters of a class; those of other classes are copied in runs."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{class_}]+", ""))
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty), and the base measures of every whole text: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words. An empty text has 0 everywhere; repeated rows and null doc_ids stay rows."""
+    n_dup_lines, n_repeat_words, and n_distinct_words. An empty text has 0 everywhere; repeated rows and null doc_ids
+    stay rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_words = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("ws"))
     full = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_WHITE)) != "")
-    return with_words.select(
-        "doc_id", "text", F.size("ws").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", _WHITE, "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+    counted = _let(words(F.col("text")), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), word_counts(ws).alias("w")))
+    return docs.select("doc_id", text.alias("text")).withColumn("c", counted).select(
+        "doc_id", "text", F.col("c.n").alias("n_words"),
+        (F.char_length("text") - _count(F.col("text"), _BREAK[1:-2])).cast("long").alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("ws") > WINDOW, repeated_words(F.col("ws"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
-
-
-def _count(text: Column, class_: str) -> Column:
-    return F.char_length(F.regexp_replace(text, f"[^{class_}]", ""))
+        F.col("c.w.repeated").alias("n_repeat_words"), F.col("c.w.distinct").alias("n_distinct_words"))
 
 
 def rules() -> dict[str, Column]:
@@ -92,7 +94,7 @@ def rules() -> dict[str, Column]:
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
         "upper_case": upper > lower,
         "duplicate_lines": 2 * F.col("n_dup_lines") > lines,
-        "few_words": (n >= 100) & (20 * F.size(F.array_distinct(words(text))) < n),
+        "few_words": (n >= 100) & (20 * F.col("n_distinct_words") < n),
     }
 
 
@@ -131,11 +133,12 @@ def base_failed() -> Column:
 def filtered(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The measures of every row of docs (doc_id, text) with base_failed, rejected_by and kept."""
     conditions = rules()
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "sampled")
+    some = docs.join(F.broadcast(ids.distinct()), F.col("doc_id").eqNullSafe(F.col("sampled")), "left_semi").limit(sample)
     order = order_rules(measures(some), conditions)
     out = measures(docs).withColumn("base_failed", base_failed())
     out = out.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(out, conditions, order)))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("text")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("text", "n_distinct_words")
 
 
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
