@@ -149,8 +149,8 @@ def discovery_bins(docs: DataFrame, alpha: float = ALPHA) -> dict[int, int]:
     return {r["class"]: r["bin"] for r in passing.groupBy("class").agg(F.min("bin").alias("bin")).collect()}
 
 
-def scanned(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """docs with `scan_base` and `scan_spans`: sorted arrays of (start, rank of the kind, stop) in code points.
+def scanned(docs: DataFrame, alpha: float = ALPHA, base: str = "scan_base", spans: str = "scan_spans") -> DataFrame:
+    """docs with two columns, `base` and `spans` by name: sorted arrays of (start, rank of the kind, stop) in code points.
 
     Null text counts as empty: no spans. An added span never overlaps a base span. Other columns stay as they are, but
     for those named so, which are replaced."""
@@ -158,10 +158,10 @@ def scanned(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     bases = F.sort_array(F.concat(*base_spans(text)))
     limit = lambda s: F.coalesce(*[F.when(length_class(s) == c, F.lit(b)) for c, b in sorted(cuts.items())], F.lit(MOST_BINS + 1))
-    out = docs.withColumn("scan_base", bases)
-    free = lambda x: ~F.exists("scan_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    out = docs.withColumn(base, bases)
+    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
     more = F.filter(found(text, CANDIDATE), lambda x: free(x) & (text_bin(x["m"]) >= limit(x["m"])) & (random_p(x["m"]) >= RANDOM_P))
-    return out.withColumn("scan_spans", F.sort_array(F.concat("scan_base", _spans(more, 3))))
+    return out.withColumn(spans, F.sort_array(F.concat(base, _spans(more, 3))))
 
 
 def span_text(spans: Column) -> Column:
@@ -173,7 +173,10 @@ def span_text(spans: Column) -> Column:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", alpha: float = ALPHA) -> DataFrame:
     """docs with every span of its text replaced by a mark (overlapping spans by one); n_chars, if there, is counted anew
     for texts that change."""
-    found_in = scanned(docs, alpha)
+    spans = "scan_spans"
+    while {spans, f"{spans}_base", f"{spans}_text"} & set(docs.columns):
+        spans = f"_{spans}"
+    found_in = scanned(docs, alpha, f"{spans}_base", spans)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -182,9 +185,10 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", alpha: float = ALPHA) -> D
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text)))
-    clean = F.when(F.size("scan_spans") > 0, F.aggregate("scan_spans", start, add, rest)).otherwise(text)
-    columns = [clean.alias(c) if c == "text" else F.when(F.size("scan_spans") > 0, F.char_length(clean).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found_in.select(*columns)
+    clean = f"{spans}_text"  # under a name of its own: inside a lambda, `text` could mean a new column of that name
+    found_in = found_in.withColumn(clean, F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text))
+    counted = F.when(F.size(spans) > 0, F.char_length(clean).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return found_in.select(*[F.col(clean).alias(c) if c == "text" else counted.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
