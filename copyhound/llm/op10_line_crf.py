@@ -108,6 +108,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return active, size + 1, bounds
 
 
+def joined_features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`features` of a whole column, taken block by block."""
+    parts = [features(data, off) for _, _, data, off in B.text_blocks(texts, 1 << 20)]
+    counts = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+
 def indicator(active: np.ndarray) -> np.ndarray:
     """The 0/1 matrix of lists of active features."""
     out = np.zeros((len(active), N_FEATURES + 1), np.float32)
@@ -203,8 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineChain
     if len(set(label.tolist())) < 2:
         chain.slope, chain.shift = 0.0, 0.0 if not len(label) else 4.0 * (2 * label[0] - 1)
         return chain
-    data, off = B.flat(table.column("text"))
-    return chain.fit(*features(data, off), label)
+    return chain.fit(*joined_features(table.column("text")), label)
 
 
 def classify(docs: DataFrame, chain: LineChain, threshold: float = THRESHOLD) -> DataFrame:
