@@ -133,7 +133,7 @@ READ_MEMBERS = f"""(SELECT * FROM {MEMBERS} m
 WHERE NOT ends_with(path, '/') AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.') AND is_text)"""
 
 
-def admit_sql() -> str:
+def admit_sql(with_text: bool = False) -> str:
     lang = lang_sql("path")
     return f"""
 WITH f AS {FILES}, b AS (SELECT submission_id FROM f GROUP BY submission_id HAVING max(length) > {C.MAX_UPLOAD_BYTES}),
@@ -150,7 +150,7 @@ SELECT submission_id, archive, path, length, {lang} AS language,
             WHEN archive IS NULL AND NOT is_text THEN 'not_text'
             WHEN {lang} IS NULL THEN 'no_language'
             WHEN NOT {valid_sql('text')} THEN 'bad_content' END AS reason,
-       {tags_sql('text')} AS tags
+       {tags_sql('text')} AS tags{", text" if with_text else ""}
 FROM g"""
 
 

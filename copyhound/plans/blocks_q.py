@@ -104,9 +104,10 @@ def complexity_sql(x: str) -> str:
     return "(1 + " + " + ".join(f"len(regexp_extract_all({x}, '(?i)\\b{w}\\b', 0))" for w in C.COMPLEXITY_WORDS) + ")"
 
 
-def blocks_sql(langs=REGEX_LANGS) -> str:
+def blocks_sql(langs=REGEX_LANGS, files: str | None = None) -> str:
+    """Blocks of the code views, or of ``files`` (path, language, code)."""
     src = (f"(SELECT path, language, {strip_comments_sql('code', 'language')} AS clean "
-           f"FROM {V.code_files_sql(langs)} c)")
+           f"FROM {files or V.code_files_sql(langs)} c)")
     parts = []
     for lang, sub in (("python", f"(SELECT path, language, clean FROM {src} s WHERE language = 'python')"),
                       ("javascript", f"(SELECT * FROM {src} s WHERE language IN ('javascript', 'typescript'))"),
@@ -284,10 +285,14 @@ def key_lines_sql(x: str) -> str:
             f"lambda s: s <> '' AND NOT ({cond}))")
 
 
-@register("b16_core_summary", f"""
-WITH b AS ({blocks_sql()}),
+def core_summary_sql(files: str | None = None) -> str:
+    return f"""
+WITH b AS ({blocks_sql(files=files)}),
 t AS (SELECT path, block_rank, {key_lines_sql('code')}[1:{C.SUMMARY_LINES_PER_BLOCK}] AS kl FROM b WHERE block_rank <= {C.SUMMARY_BLOCKS})
-SELECT path, array_to_string(flatten(list(kl ORDER BY block_rank))[1:{C.SUMMARY_MAX_LINES}], chr(10)) AS summary FROM t GROUP BY path""")
+SELECT path, array_to_string(flatten(list(kl ORDER BY block_rank))[1:{C.SUMMARY_MAX_LINES}], chr(10)) AS summary FROM t GROUP BY path"""
+
+
+@register("b16_core_summary", core_summary_sql())
 def q_b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.core_summary(spark_blocks(spark, sf_dir), ["path"])
 

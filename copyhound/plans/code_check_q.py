@@ -115,16 +115,17 @@ def q_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGS4 = BQ.REGEX_LANGS
 
 
-def chain_sql(stage: str, langs=LANGS4, k_hits: int = C.HITS_PER_TERM, tk: int = 3) -> str:
+def chain_sql(stage: str, langs=LANGS4, k_hits: int = C.HITS_PER_TERM, tk: int = 3, files: str | None = None) -> str:
+    """The whole chain up to ``stage``, for the code views as submissions or for ``files`` (path, language, code)."""
     tokens = "regexp_extract_all({x}, '" + q(T.CODE_TOKEN) + "', 0)"
     def grams(x):
         t = tokens.format(x=x)
         return f"list_transform(range(1, len({t}) - {tk - 2}), lambda i: array_to_string({t}[i:i + {tk - 1}], ' '))"
     return f"""
-WITH fb AS ({BQ.blocks_sql(langs)}),
+WITH fb AS ({BQ.blocks_sql(langs, files)}),
 fbn AS (SELECT *, {normalize_sql('code', 'language')} AS norm FROM fb),
 co AS {corpus_sql(langs)},
-cb0 AS ({BQ.blocks_sql(langs).replace(V.code_files_sql(langs), f"(SELECT corpus_id AS path, language, content AS code FROM {corpus_sql(langs)} x)")}),
+cb0 AS ({BQ.blocks_sql(langs)}),
 cbn AS (SELECT *, {normalize_sql('code', 'language')} AS norm FROM cb0),
 ix AS {index_sql(langs)},
 dfs AS (SELECT term, language, count(*) AS df FROM ix GROUP BY ALL),
@@ -232,7 +233,8 @@ def q_r2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- X6: whole files --------------------------------------------------------------
-def files_sql() -> str:
+def files_sql(files: str | None = None) -> str:
+    """Whole-file matches of the code views, or of ``files`` (path, language, code), with the code views."""
     from copyhound.plans.blocks_q import strip_sql
     keep = " OR ".join(f"starts_with({strip_sql('l')}, '{p}')" for p in C.FALLBACK_SKIP_PREFIXES)
     body = lambda x: f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT ({keep})), chr(10))"
@@ -240,10 +242,11 @@ def files_sql() -> str:
     grams = lambda x: f"list_transform(range(1, len({toks(x)}) - 1), lambda i: array_to_string({toks(x)}[i:i + 2], ' '))"
     k = C.HITS_PER_TERM_FALLBACK
     return f"""
-WITH f0 AS (SELECT path, language, {body('code')} AS code FROM {V.code_files_sql()} c),
+WITH f0 AS (SELECT path, language, {body('code')} AS code FROM (SELECT path, language, code FROM {V.code_files_sql()} v{f" UNION ALL SELECT path, language, code FROM {files} x" if files else ""}) c),
+asked AS (SELECT path FROM {files or V.code_files_sql()} y),
 f AS (SELECT *, {normalize_sql('code', 'language')} AS norm FROM f0),
 ix AS {index_sql()}, dfs AS (SELECT term, language, count(*) AS df FROM ix GROUP BY ALL),
-ct AS (SELECT path, language, unnest({candidate_terms_sql('code', 'language')}) AS term FROM f0),
+ct AS (SELECT path, language, unnest({candidate_terms_sql('code', 'language')}) AS term FROM f0 SEMI JOIN asked USING (path)),
 tr AS (SELECT ct.*, row_number() OVER (PARTITION BY path ORDER BY coalesce(df, {2 ** 62}), term) AS r FROM ct LEFT JOIN dfs USING (term, language)),
 post AS (SELECT *, row_number() OVER (PARTITION BY term, language ORDER BY indexed_at DESC, corpus_id) AS hit_rank FROM ix),
 hj AS (SELECT tr.path, tr.term, post.corpus_id, post.hit_rank FROM tr JOIN post USING (term, language)
