@@ -12,7 +12,8 @@ regions:
 - Then regions are joined recursively. In each round the points of a region that aren't connected with its largest
   class elect further pivots, a few at first and more in later rounds. By the triangle inequality such a pivot can
   only link with points whose distance from the region's pivot lies in a window of the radius around its own; those
-  in the window and in another class are compared. A region is finished when its points are connected or have been
+  in the window and in another class are compared, unless the shingles that either has to itself already put them
+  too far apart. A region is finished when its points are connected or have been
   pivots.
 
 So a group of copies costs a star, not all its pairs, and no pair of different texts is dropped: every pair that
@@ -133,7 +134,8 @@ def _compared(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _region_points(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The points that may have a neighbour: (point, n, central, tokens, cells)."""
+    """The points that may have a neighbour: (point, n, central, held, tokens, cells); held: how many of its shingles
+    others have too."""
     tokens = sets.select("point", "n", F.explode("first").alias("h"))
     shared = tokens.groupBy("h").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high").select("h")
     need = F.greatest(F.lit(1), _int(_int((F.col("n") * percent + 99) / 100) / 10))
@@ -147,7 +149,7 @@ def _region_points(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         F.max("n").alias("n"), F.sum("df").alias("popularity"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).where(F.size("held") >= least)
     # Shingles that no other point has come first in the order; what they leave of the first ones are the cells.
     cells = F.slice(F.col("held.h"), F.lit(1), (F.size("held") - least + 1).cast("int"))
-    held = held.select("point", (F.col("popularity") / F.col("n")).alias("central"), cells.alias("cells"))
+    held = held.select("point", (F.col("popularity") / F.col("n")).alias("central"), F.size("held").cast("long").alias("held"), cells.alias("cells"))
     return stored(whole.join(held, "point"), "points")
 
 
@@ -161,13 +163,15 @@ def _regions(points: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     far = stored(_compared(pairs, points, percent), "distances")
     regions = far.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "d")
     regions = regions.union(far.select(F.col("b").alias("pivot"), F.col("b").alias("point"), F.lit(0.0).alias("d")).distinct())
-    regions = stored(regions.join(points.select("point", "central", "n"), "point"), "regions")
+    regions = stored(regions.join(points.select("point", "central", "n", "held"), "point"), "regions")
     return regions, far.where("linked").select("a", "b")
 
 
 def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Labels (v, label) of all points with a link, after all rounds."""
     radius = 1 - percent / 100 + 1e-9
+    # two points share at most what either has in common with any other, which bounds their distance from below
+    most_shared = F.least("held", "p_held")
     labels = merged(None, links)
     done = regions.select("pivot", "point").where("pivot = point")
     most = FIRST_PIVOTS
@@ -179,12 +183,12 @@ def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, per
         rows = stored(rows.join(size.select("pivot", F.col("largest.label").alias("major")), "pivot"), "rows")
         order = W.partitionBy("pivot").orderBy(F.col("central").desc(), "point")
         probes = rows.where("label <> major and not probed").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        probes = stored(probes.select("pivot", F.col("point").alias("p"), F.col("d").alias("pd"), F.col("n").alias("pn"), F.col("label").alias("p_label")), "probes")
+        probes = stored(probes.select("pivot", F.col("point").alias("p"), F.col("d").alias("pd"), F.col("n").alias("pn"), F.col("held").alias("p_held"), F.col("label").alias("p_label")), "probes")
         if probes.isEmpty():
             return labels
         near = rows.where("not probed").join(probes, "pivot").where(
             (F.col("label") != F.col("p_label")) & (F.abs(F.col("d") - F.col("pd")) <= radius)
-            & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+            & (100 * most_shared >= percent * (F.col("n") + F.col("pn") - most_shared)))
         pairs = near.select(F.least("p", "point").alias("a"), F.greatest("p", "point").alias("b")).distinct()
         found = stored(_compared(pairs, points, percent).where("linked").select("a", "b"), "links")
         if not found.isEmpty():
