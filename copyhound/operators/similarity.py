@@ -106,7 +106,10 @@ def gram_similarity(left: DataFrame, right: DataFrame | None, left_id: str, righ
 
 # --- X3 / X4 ----------------------------------------------------------------
 def _pattern_set(code: Column, patterns) -> Column:
-    parts = [F.regexp_extract_all(code, F.lit(T.unicode_classes(p)), F.lit(0)) for p in patterns]
+    # A leftmost match of a pattern that begins with a word begins where the word does. Saying so keeps the search
+    # linear in a very long word, where it would try every letter as a beginning.
+    whole = lambda p: f"(?<!{T.WORD})" * p.startswith(r"\w+") + T.unicode_classes(p)
+    parts = [F.regexp_extract_all(code, F.lit(whole(p)), F.lit(0)) for p in patterns]
     return F.array_distinct(F.concat(*parts))
 
 
