@@ -76,11 +76,12 @@ class EliasFano:
         return (np.flatnonzero(bits)[:self.n] - k << self.low_bits) + self._low(k)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, as_loaded: bool = False) -> None:
     """Writes the ids of all documents in ascending doc_id order (null first; equal ones by the text's hash).
 
     Whole texts are range-partitioned by doc_id, so files hold consecutive documents and part numbers follow the
-    order. Null text counts as empty: the end id alone. Rows with equal doc_ids each get an entry."""
+    order. Null text counts as empty: the end id alone. Rows with equal doc_ids each get an entry. as_loaded: added
+    tokens of the vocabulary keep their ids where a text holds one."""
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col("doc_id"), F.xxhash64("text")]
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -88,7 +89,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, as_loaded)
         width = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         part, number, held, bytes_held = TaskContext.get().partitionId(), 0, [], 0
 
@@ -162,5 +163,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
-    write_token_files(documents(spark, sf_dir), path, vocabulary_path())
+    write_token_files(documents(spark, sf_dir), path, vocabulary_path(), as_loaded=True)
     return read_token_files(spark, path)

@@ -31,15 +31,16 @@ def binary_lengths(n: int, most: int = SEQUENCE) -> np.ndarray:
     return np.concatenate([np.full(n // most, most, np.int64), np.array(tail, np.int64)])
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False, as_loaded: bool = False) -> DataFrame:
     """One row for each piece of each document: (doc_id, start, length, ids_crc32, doc_tokens, part, bucket_row).
 
     part: the partition that cut the document; bucket_row: the piece's number among that partition's pieces of its
-    length. with_ids adds the ids as array<int>. Null text counts as empty: one piece that holds the end id alone.
+    length. with_ids adds the ids as array<int>. as_loaded: added tokens of the vocabulary keep their ids where a text
+    holds one. Null text counts as empty: one piece that holds the end id alone.
     Null doc_ids and repeated rows are documents like any other."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, as_loaded)
         seen = np.zeros(most.bit_length(), np.int64)
         for batch in batches:
             for i, j, data, off in B.text_blocks(batch.column(1)):
@@ -80,13 +81,13 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, most:
     return got.withColumn("part", F.spark_partition_id())
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False, as_loaded: bool = False) -> DataFrame:
     """Packs documents (doc_id, text; other columns are left out) into sequences of at most `most` tokens.
 
     Returns for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0: a piece is a
     sequence). Numbers run on from bucket to bucket, longest first; within one, by partition and place there. Only
     counts by partition and bucket meet in one place. An empty table gives no rows."""
-    pieces = stored(cut_documents(docs, vocabulary or vocabulary_path(), end_id, most, with_ids), "pieces")
+    pieces = stored(cut_documents(docs, vocabulary or vocabulary_path(), end_id, most, with_ids, as_loaded), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -97,4 +98,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, m
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), as_loaded=True)

@@ -1,19 +1,22 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library, each distinct piece encoded once.
 
 `blocks.pieces` cuts texts only where the vocabulary's own splitting always cuts, so the ids of the pieces, put
-together, are the ids of the text. A worker keeps the ids of the pieces it has met, up to a bound.
+together, are the ids of the text. A worker keeps the ids of the pieces it has met, up to a bound. The file's added
+tokens (such as <|endoftext|>) keep their own ids where a text holds one, as the library has it, in an encoder
+`as_loaded`; otherwise they are text like any other.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 from copyhound.llm import blocks as B
 
 KEEP_PIECES = 3 << 20
-_ENCODERS: dict[str, "PieceEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 #: Bytes that stand for themselves in a byte-level vocabulary; the others are numbered on from 256.
 _PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -32,11 +35,15 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Encodes blocks of texts. Pieces count as equal when a 64-bit hash, the length and the last byte agree."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_loaded: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not as_loaded
+        added = {t.content.encode(): (k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items() if as_loaded or not t.special}
+        self.added = {content: k for content, (k, _) in added.items()}
+        self.added_bare = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.letters = _byte_letters()
         self.clear()
 
@@ -88,6 +95,35 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, in order, and for each text the number of ids before it (one more entry)."""
+        if len(data) == 0:
+            return np.zeros(0, self.ids.dtype), np.zeros(len(off), np.int64)
+        if self.added_pattern:
+            raw = data.tobytes()
+            if self.added_pattern.search(raw):
+                return self._with_added(data, off, raw)
+        return self._encode(data, off)
+
+    def _with_added(self, data: np.ndarray, off: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The added tokens of each text are taken out with their ids, and what stands between them is encoded as texts."""
+        if not self.added_bare:  # a token that takes space or words around it into account is the library's to find
+            return self._plain(data, off)
+        found = [m for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in self.added_pattern.finditer(raw, a, b)]
+        if not found:  # only across the end of a text
+            return self._encode(data, off)
+        start, end = (np.array([at(m) for m in found], np.int64) for at in (re.Match.start, re.Match.end))
+        rest = np.ones(len(data), bool)
+        rest[B.ranges(start, end - start)] = False
+        gone = np.concatenate([[0], np.cumsum(end - start)])
+        # a part begins with each text and after each token
+        texts_at = off - gone[np.searchsorted(start, off)]
+        parts = np.insert(texts_at, np.searchsorted(off, start, "right"), start - gone[:-1])
+        ids, bounds = self._encode(data[rest], parts)
+        token_part = np.searchsorted(off, start, "right") + np.arange(len(start))
+        ids = np.insert(ids, bounds[token_part], np.array([self.added[m.group()] for m in found], ids.dtype))
+        text_part = np.arange(len(off)) + np.searchsorted(start, off)
+        return ids, bounds[text_part] + np.searchsorted(start, off)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(data) == 0:
             return np.zeros(0, self.ids.dtype), np.zeros(len(off), np.int64)
         start, end, bounds = B.pieces(data, off)
@@ -115,9 +151,9 @@ class PieceEncoder:
         return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, as_loaded: bool = False) -> PieceEncoder:
     """This worker's encoder for a vocabulary file. The work is Spark's to spread, so the library uses one thread."""
-    if path not in _ENCODERS:
+    if (path, as_loaded) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, as_loaded] = PieceEncoder(path, as_loaded)
+    return _ENCODERS[path, as_loaded]

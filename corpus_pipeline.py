@@ -57,7 +57,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the documents into sequences of power-of-two length, one row for each."""
-    return op9_packing.pack(docs, vocabulary_path())
+    return op9_packing.pack(docs, vocabulary_path(), as_loaded=True)
 
 
 STAGES = [

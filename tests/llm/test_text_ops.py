@@ -74,6 +74,52 @@ def test_token_files(spark, docs, library):
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
 
 
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endof<|endoftext|>text|> ", "tail <|endof", "text|> head", "<|endoftext", "", None]
+
+
+@pytest.fixture(scope="module")
+def loaded():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_keep_their_ids_as_in_the_library(loaded):
+    import pyarrow as pa
+
+    from copyhound.llm import blocks as B
+    from copyhound.llm.tokens import encoder
+
+    assert 50256 in loaded("a <|endoftext|> b")
+    rng = random.Random(6)
+    texts = ADDED + TEXTS + ["".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "it's", " é", "日", "12", "|>"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for limit in (300, 4000, 1 << 20):
+        got = []
+        for _, _, data, off in B.text_blocks(pa.array(texts), limit):
+            ids, bounds = encoder(vocabulary_path(), True).encode(data, off)
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [loaded(t) for t in texts]
+
+
+def test_queries_encode_added_tokens_as_the_library(spark, loaded, tmp_path):
+    import corpus_pipeline
+
+    rows = list(enumerate(ADDED))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(k, len(loaded(t)) + 1, crc(loaded(t) + [op3_token_files.END_ID])) for k, t in rows}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in op3_token_files.op3_token_files(spark, str(tmp_path)).collect()} == want
+    want = set()
+    for k, t in rows:
+        ids, at = loaded(t) + [op9_packing.END_ID], 0
+        for size in op9_packing.binary_lengths(len(ids)).tolist():
+            want.add((k, at, size, crc(ids[at:at + size]), len(ids)))
+            at += size
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (op9_packing.op9_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.collect()} == want
+
+
 def test_elias_fano_select():
     rng = np.random.default_rng(1)
     for values in ([5], [0, 0, 3], np.cumsum(rng.integers(1, 5000, 1000)), np.cumsum(rng.integers(0, 2, 500)), [10 ** 12, 10 ** 12 + 1]):
