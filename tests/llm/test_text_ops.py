@@ -217,6 +217,24 @@ def test_secrets(spark, docs):
     assert clean[0].text is None and clean[200].scan_base == "x"
 
 
+def test_base32_keys_are_found_and_capital_text_is_not(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n)) for n in (24, 32) for _ in range(100)]
+    words = "THE QUICK BROWN FOX JUMPS OVER LAZY DOG WHILE OTHER PEOPLE READ THEIR MORNING PAPER AND DRINK COFFEE IN SMALL GARDENS".split()
+    plain = ["".join(rng.choice(words) for _ in range(9)) for _ in range(300)] + ["X" * 30, "Z" * 40, "QZ" * 12]
+    df = spark.createDataFrame([(k, f"key {s} end") for k, s in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r.doc_id for r in op2_secrets.scanned(df).collect() if any(s.rank == 3 for s in r.scan_spans)}
+    assert sum(k < 100 for k in found) >= 90 and sum(100 <= k < 200 for k in found) >= 95
+    assert not [k for k in found if k >= 200]
+
+
+def test_a_string_in_a_third_of_the_rows_is_one_hypothesis(spark):
+    key = "kQwErtYuIoPasDfghJkLzxcV"  # 10^-6.5 under ordinary text
+    rows = [(k, "some/long/path/to/a/file.py"[:-3] if k % 3 == 0 else "words only") for k in range(90_000)] + [(-1, f"a {key} b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.text[2:-2]) for r in op2_secrets.scanned(df).where("size(scan_spans) > 0").collect()] == [(-1, key)]
+
+
 def test_random_strings_pass_the_battery_and_words_do_not(spark):
     rng = random.Random(5)
     random_ones = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(200)]
