@@ -106,21 +106,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of the words `[^\\x20\\x09-\\x0D]+`, and for each text the number of words before it (one more entry)."""
-    solid = ~WHITE[data]
+def runs(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of the runs of solid bytes, cut at the texts' offsets, and for each text the number of runs before it
+    (one more entry)."""
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
     last[:-1] &= ~solid[1:]
     inner = off[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
+    inner = inner[(inner > 0) & (inner < len(solid))]
     first[inner] |= solid[inner]
     last[inner - 1] |= solid[inner - 1]
     start = np.flatnonzero(first)
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, off)
 
 
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of the words `[^\\x20\\x09-\\x0D]+`, and for each text the number of words before it (one more entry)."""
+    return runs(~WHITE[data], off)
+
+
 def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts texts where the pattern of a byte-level vocabulary always ends a unit, whatever stands around:
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["op1_jaccard_join", "op2_secrets", "op3_token_files", "op4_rule_cascade", "op5_language", "op6_suffix_tree", "op7_itq_neardup", "op8_pieces", "op9_packing", "op10_line_crf"]
+_MODULES = ["op1_jaccard_join", "op2_secrets", "op3_token_files", "op4_rule_cascade", "op5_language", "op6_suffix_tree", "op7_itq_neardup", "op8_pieces", "op9_packing", "op10_line_crf", "op11_prefix_trie", "op12_contamination", "op13_spelling"]
 
 
 def queries() -> dict:

@@ -44,3 +44,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def crc32_sql(bytes_: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a list of bytes. A byte is taken in as it is, each -1 shifts by one bit."""
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform({bytes_}, lambda x: [x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"
