@@ -56,10 +56,12 @@ def normalize_curly(code) -> Column:
 # --- N2 ---------------------------------------------------------------------
 # A line's prefix made of plain characters, escaped quotes and complete quoted
 # strings, followed by an unquoted '#': the comment starts there.
+# A quote counts unless a backslash stands right before it. Every repetition is possessive: it runs in a loop, where a
+# lazy or greedy group would take a stack frame for each character.
 _PY_COMMENT = (
     r"(?d)\A((?:[^'\"#]++|(?<=\\)['\"]"
-    r"|(?<!\\)\"(?:[^\"]|(?<=\\)\")*?(?<!\\)\""
-    r"|(?<!\\)'(?:[^']|(?<=\\)')*?(?<!\\)')*+)#.*\z"
+    r"|(?<!\\)\"[^\"]*+(?:(?<=\\)\"[^\"]*+)*+\""
+    r"|(?<!\\)'[^']*+(?:(?<=\\)'[^']*+)*+')*+)#.*\z"
 )
 
 
@@ -150,6 +152,33 @@ def let(value, fn) -> Column:
     return F.element_at(F.transform(F.array(_c(value)), fn), 1)
 
 
+def running(values, combine, first) -> Column:
+    """array: combine(combine(first, v1), v2) and so on, one for each value (sums, maxima).
+
+    An accumulator that appends copies its array for every value. So the values are taken in blocks of the root of
+    their number, and each block's results are combined with the result of all blocks before it."""
+
+    def folded(xs: Column) -> Column:
+        kind = "array<bigint>"
+        start = F.struct(F.lit(first).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            at = combine(acc["at"], x.cast("long")).cast("long")
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(xs, start, add, lambda acc: acc["out"])
+
+    def in_blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: folded(F.slice(v, k * size + 1, size)))
+        return let(blocks, lambda b: let(
+            folded(F.transform(b, lambda x: F.element_at(x, -1))),
+            lambda ends: F.flatten(F.transform(b, lambda x, k: F.when(k == 0, x).otherwise(
+                F.transform(x, lambda y: combine(F.get(ends, k - 1), y).cast("long")))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.array().cast("array<bigint>")))
+
+
 def words(normalized) -> Column:
     """Space-separated tokens of an already whitespace-collapsed text."""
     return let(normalized, lambda t: F.when(t == "", F.array().cast("array<string>"))

@@ -81,15 +81,10 @@ def regex_blocks(clean, pattern: str, block_type: str, name_group: int = 1, plac
                          F.get(s["mn"], k - 1).alias("inside"), newlines(F.get(s["lead"], k - 1)).alias("led"))))
 
     def numbered(found):
-        # one pass: a match starts after all pieces and matches before it, less its own lead
-        start = F.struct(F.lit(1).alias("line"), F.array().cast(BLOCKS_RAW).alias("out"))
-
-        def add(acc, x):
-            line = acc["line"] + x["before"]
-            block = F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["raw"].alias("raw"), line.cast("int").alias("line_start"))
-            return F.struct((line + x["led"] + x["inside"]).alias("line"), F.concat(acc["out"], F.array(block)).alias("out"))
-
-        return F.aggregate(found, start, add, lambda acc: acc["out"])
+        # a match starts after all pieces and matches before it, less its own lead
+        lines = T.running(F.transform(found, lambda x: x["before"] + x["led"] + x["inside"]), lambda a, x: a + x, 0)
+        return F.zip_with(found, lines, lambda x, end: F.struct(
+            x["ord"].alias("ord"), x["name"].alias("name"), x["raw"].alias("raw"), (1 + end - x["led"] - x["inside"]).cast("int").alias("line_start")))
 
     none = F.array().cast(BLOCKS_RAW)
     arr = T.let(clean, lambda t: F.when(t.rlike(pattern), T.let(build(t), numbered)).otherwise(none))

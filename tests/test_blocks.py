@@ -101,3 +101,18 @@ def test_balanced_blocks(spark):
         ("function", "two"): (2, "two(void) {\n}"),
         ("function", "bar"): (3, "function bar(b) { return b; }"),
     }
+
+
+def test_running_results_and_a_file_of_very_many_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from copyhound.functions import text as T
+    from copyhound.operators import blocks as B
+
+    sums = T.running(F.sequence(F.lit(1), F.lit(1000)), lambda a, x: a + x, 0)
+    most = T.running(F.array(*[F.lit(x) for x in (3, 1, 4, 1, 5)]), F.greatest, 0)
+    r = spark.range(1).select(sums.alias("s"), most.alias("m"), T.running(F.array().cast("array<int>"), lambda a, x: a + x, 0).alias("e")).first()
+    assert r.s == [k * (k + 1) // 2 for k in range(1, 1001)] and r.m == [3, 3, 4, 4, 5] and r.e == []
+    code = "\n\n".join(f"function f{i}(a) {{\n return a; }}" for i in range(200_000))
+    b = spark.createDataFrame([(code,)], "c string").select(F.explode(B.blocks_js(F.col("c"))).alias("b"))
+    assert tuple(b.agg(F.count("*"), F.max("b.line_start"), F.sum(F.expr("b.line_start % 3")).cast("int")).first()) == (200_000, 599_998, 200_000)
