@@ -200,9 +200,10 @@ class CheckConfig:
     max_blocks_per_file: int | None = None
     max_terms_per_block: int | None = None
     broadcast_max_rows: int = 2_000_000  # size-checked broadcast bound
+    candidates: str = "grams"            # R9: "grams" (every similar block) or "hits" (blocks of files the terms find)
     extra: dict = field(default_factory=dict)
 
 
 # What the reference's search service allows: the newest hits of a few terms.
-REFERENCE_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM)
-FALLBACK_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM_FALLBACK)
+REFERENCE_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM, candidates="hits")
+FALLBACK_BUDGET = CheckConfig(terms_per_text=TERMS_PER_TEXT, hits_per_term=HITS_PER_TERM_FALLBACK, candidates="hits")

@@ -1,9 +1,9 @@
-"""check_code (X7): files -> blocks -> terms -> index lookup -> candidate blocks ->
-score -> floor -> best per url -> top-10, over the code views; and the whole-file path (X6).
+"""check_code (X7): files -> blocks -> candidate blocks -> score -> floor -> best per url -> top-10, over the code
+views; and the whole-file path (X6).
 
-Submissions and corpus are the whole code table; a file never matches its own corpus entry. Terms are looked up in the
-token index built from the corpus. Budgets are parameters, unlimited by default; the registered queries run with
-``C.REFERENCE_BUDGET`` (see the README for why)."""
+Submissions and corpus are the whole code table; a file never matches its own corpus entry. Candidates are all blocks of
+the corpus that are similar enough (``candidates="grams"``, an exact join), or the blocks of the files that a block's terms
+find in the token index (``"hits"``, with budgets: ``C.REFERENCE_BUDGET`` is what the reference's search allows)."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from copyhound.operators import blocks as B
 from copyhound.operators import lookup as L
 from copyhound.operators import report as R
 from copyhound.operators import terms as TM
+from copyhound.operators.gram_join import top_sources
 from copyhound.operators.similarity import best_block_match, pair_similarity
 from copyhound.plans import code_views as V
 from copyhound.session import scratch_path
@@ -67,6 +68,19 @@ def score_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey, rkey,
     return both.join(scored.select("lmd", "rmd", "similarity"), ["lmd", "rmd"]).drop("lmd", "rmd")
 
 
+def similar_sources(mine: DataFrame, theirs: DataFrame, cfg: C.CheckConfig, token_k: int) -> DataFrame:
+    """The similar corpus files of each row of mine (path, language, norm, and columns that don't clash): mine's columns and
+    corpus_id, url, similarity, source_rank, cname. theirs: (language, norm, corpus_id, url, posting_rank, cname). One more
+    than ``cfg.top_code`` a text, since one of them may be the file itself."""
+    text = lambda d: d.withColumns({"scope": F.col("language"), "id": F.md5("norm")})
+    mine, theirs = text(mine), text(theirs)
+    texts = mine.select("scope", "id", "norm").unionByName(theirs.select("scope", "id", "norm")).groupBy("scope", "id").agg(F.first("norm").alias("norm"))
+    postings = theirs.select("scope", "id", "url", "posting_rank", F.struct("corpus_id", "cname").alias("detail"))
+    found = top_sources(texts, postings, cfg.top_code + 1, round(100 * cfg.code_floor), token_k, "token", kept, mine.select("scope", "id"))
+    found = found.select("scope", "id", "url", "similarity", F.col("posting_rank").alias("source_rank"), "detail.corpus_id", "detail.cname")
+    return mine.drop("norm").join(found, ["scope", "id"]).drop("scope", "id")
+
+
 def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(), token_k: int = 3) -> DataFrame:
     """Code matches per file: path, url, repository, file_path, license, similarity,
     original_block, matched_block, block_type, match_rank."""
@@ -75,6 +89,12 @@ def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.Check
     fblocks = kept(B.block_rows(files, key).withColumn("norm", T.normalize("code", "language")), "file-blocks")
     cblocks = kept(B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
                    .withColumn("norm", T.normalize("code", "language")), "corpus-blocks")
+    if cfg.candidates == "grams":
+        theirs = cblocks.select("language", "norm", "corpus_id", F.col("block_rank").alias("posting_rank"), F.col("name").alias("cname"))
+        theirs = theirs.join(corpus.select("corpus_id", "url"), "corpus_id")
+        best = similar_sources(fblocks.select(*key, "language", "norm", "block_id", "block_rank", F.col("name").alias("original_block"), "block_type"), theirs, cfg, token_k)
+        best = best.join(files.select(*key, "self_id"), key).where("self_id <> corpus_id")
+        return reported(best, corpus, cfg, key)
     index = L.build_term_index(corpus)
     terms = TM.select_terms(fblocks, [*key, "block_id"], "code", "language", L.term_df(index), cfg.terms_per_text)
     if cfg.max_terms_per_block is not None:
@@ -93,20 +113,32 @@ def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.Check
     best = R.match_floor(best, "code", floor=cfg.code_floor)
     best = best.join(fblocks.select(*key, "block_id", "block_rank", F.col("name").alias("original_block"),
                                     "block_type"), [*key, "block_id"])
-    best = best.join(corpus.select("corpus_id", "url", "repository", "file_path", "license"), "corpus_id")
+    return reported(best.join(corpus.select("corpus_id", "url"), "corpus_id"), corpus, cfg, key)
+
+
+def reported(best: DataFrame, corpus: DataFrame, cfg: C.CheckConfig, key: list[str]) -> DataFrame:
+    """P1 and P2 of block matches: the best of each file and url, and of these the top of each file."""
     dedup = R.dedup_url(best, key, "url", tiebreak=["block_rank", "block_id"])
     if cfg.extra.get("stage") == "dedup":
         return dedup
     top = R.top_matches(dedup, key, cfg.top_code, tiebreak=["url"])
+    top = top.join(corpus.select("corpus_id", "repository", "file_path", "license"), "corpus_id")
     return top.select(*key, "url", "repository", "file_path", "license", "similarity",
                       F.col("original_block"), F.col("cname").alias("matched_block"), "block_type", "match_rank")
 
 
-def check_files(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.FALLBACK_BUDGET, token_k: int = 3) -> DataFrame:
-    """Matches of whole files, for files without a block match. Both sides are B8's text, normalized; terms are those
-    of the whole file, with five hits each in the reference's budget."""
+def check_files(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(), token_k: int = 3) -> DataFrame:
+    """Matches of whole files, for files without a block match. Both sides are B8's text, normalized. With candidates
+    by hits, terms are those of the whole file, with five hits each in the reference's budget."""
     mine = files.select("path", "language", "self_id", B.fallback_block("code").alias("code"))
     theirs = corpus.select("corpus_id", "language", B.fallback_block("content").alias("code"))
+    if cfg.candidates == "grams":
+        texts = kept(mine.select("path", "language", "self_id", T.normalize("code", "language").alias("norm")), "file-texts")
+        known = corpus.select("corpus_id", "url").join(theirs.select("corpus_id", "language", T.normalize("code", "language").alias("norm")), "corpus_id")
+        known = kept(known.select("language", "norm", "corpus_id", "url", F.lit(0).alias("posting_rank"), F.lit("").alias("cname")), "corpus-texts")
+        best = similar_sources(texts, known, cfg, token_k).where("self_id <> corpus_id").drop("cname", "source_rank")
+        top = R.top_matches(R.dedup_url(best, ["path"], "url", tiebreak=["corpus_id"]), ["path"], cfg.top_code, tiebreak=["url"])
+        return top.join(corpus.select("corpus_id", "repository", "license"), "corpus_id").select("path", "url", "repository", "license", "similarity", "match_rank")
     index = L.build_term_index(corpus)
     terms = TM.select_terms(mine, ["path"], "code", "language", L.term_df(index), cfg.terms_per_text)
     hits = L.lookup_terms(terms.join(mine.select("path", "self_id"), "path"), index, ["path"], cfg.hits_per_term, self_col="self_id")
@@ -118,7 +150,7 @@ def check_files(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.FALL
 
 
 def code_matches(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
-    return check_code(submitted_files(spark, sf_dir, langs), corpus_files(spark, sf_dir, langs), C.REFERENCE_BUDGET)
+    return check_code(submitted_files(spark, sf_dir, langs), corpus_files(spark, sf_dir, langs))
 
 
 def best_matches(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:

@@ -11,6 +11,7 @@ from copyhound.functions import text as T
 from copyhound.operators import blocks as B
 from copyhound.operators import lookup as L
 from copyhound.operators import terms as TM
+from copyhound.operators.gram_join import gram_pairs, gram_sets
 from copyhound.plans import blocks_q as BQ
 from copyhound.plans import code_check as CC
 from copyhound.plans import code_views as V
@@ -162,11 +163,88 @@ X7_SELECT = (f"SELECT path, url, repository, file_path, license, similarity, ori
              f"block_type, CAST(match_rank AS INTEGER) AS match_rank FROM top WHERE match_rank <= {C.TOP_CODE_MATCHES}")
 
 
-@register("x7_check_code", chain_sql(X7_SELECT))
+def _similar_sql(mine: str, theirs: str, tk: int = 3) -> str:
+    """CTEs of all similar texts, counted pair by pair: ``near`` (mine's rows, url, corpus_id, similarity, cname). mine (path,
+    language, norm, ...) and theirs (language, norm, corpus_id, url, posting_rank, cname) are names of CTEs before."""
+    toks = f"regexp_extract_all(norm, '{q(T.CODE_TOKEN)}', 0)"
+    grams = f"list_transform(range(1, len({toks}) - {tk - 2}), lambda i: array_to_string({toks}[i:i + {tk - 1}], ' '))"
+    return f"""
+tx AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM (SELECT language, norm FROM {mine} UNION SELECT language, norm FROM {theirs})),
+gr AS MATERIALIZED (SELECT language, i, g, count(*) AS c FROM (SELECT language, i, unnest({grams}) AS g FROM tx) GROUP BY ALL),
+codes AS (SELECT language, g, row_number() OVER () AS e FROM gr GROUP BY language, g HAVING count(*) > 1),
+ge AS MATERIALIZED (SELECT i::INTEGER AS i, e::INTEGER AS e, c::INTEGER AS c FROM gr JOIN codes USING (language, g)),
+sizes AS MATERIALIZED (SELECT i, sum(c) AS t FROM gr GROUP BY i),
+pr AS (SELECT a.i AS a, b.i AS b, sum(least(a.c, b.c)) AS shared FROM ge a JOIN ge b ON a.e = b.e AND a.i < b.i GROUP BY ALL),
+half AS MATERIALIZED (SELECT a, b, 2 * shared / (x.t + y.t) AS similarity FROM pr JOIN sizes x ON x.i = a JOIN sizes y ON y.i = b WHERE 2 * shared / (x.t + y.t) >= {C.CODE_MATCH_FLOOR}),
+known AS MATERIALIZED (SELECT i, url, corpus_id, posting_rank, cname, row_number() OVER (PARTITION BY i ORDER BY url) AS u FROM (
+  SELECT tx.i, k.*, row_number() OVER (PARTITION BY tx.i, url ORDER BY posting_rank, corpus_id, cname) AS r FROM {theirs} k JOIN tx USING (language, norm)) WHERE r = 1),
+most AS (SELECT {C.TOP_CODE_MATCHES + 1} * max(n) AS n FROM (SELECT count(DISTINCT i) AS n FROM known GROUP BY url)),
+sim AS (SELECT a, b, similarity FROM half UNION ALL SELECT b, a, similarity FROM half UNION ALL SELECT i, i, 1.0 FROM sizes),
+ranked AS (SELECT a, b, similarity, rank() OVER (PARTITION BY a ORDER BY similarity DESC) AS r FROM sim SEMI JOIN known ON known.i = sim.b),
+near AS (SELECT m.*, known.url, known.corpus_id, known.posting_rank, known.cname, ranked.similarity
+         FROM {mine} m JOIN tx USING (language, norm) JOIN ranked ON ranked.a = tx.i AND ranked.r <= (SELECT n FROM most)
+              JOIN known ON known.i = ranked.b AND known.u <= {C.TOP_CODE_MATCHES + 1} WHERE m.path <> known.corpus_id)"""
+
+
+def gram_chain_sql(stage: str, langs=LANGS4, files: str | None = None) -> str:
+    """The chain over all similar blocks up to ``stage``, for the code views as submissions or for ``files`` (path, language, code)."""
+    return f"""
+WITH fbn AS MATERIALIZED (SELECT path, language, block_id, block_rank, name AS original_block, block_type, {normalize_sql('code', 'language')} AS norm FROM ({BQ.blocks_sql(langs, files)}) b),
+co AS MATERIALIZED {corpus_sql(langs)},
+cbn AS MATERIALIZED (SELECT b.language, {normalize_sql('b.code', 'b.language')} AS norm, co.corpus_id, co.url, b.block_rank AS posting_rank, b.name AS cname
+        FROM ({BQ.blocks_sql(langs)}) b JOIN co ON co.corpus_id = b.path),
+{_similar_sql('fbn', 'cbn')},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, block_id, url ORDER BY similarity DESC, posting_rank, corpus_id, cname) AS r FROM near) WHERE r = 1),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, url ORDER BY similarity DESC, block_rank, block_id) AS r2 FROM best) WHERE r2 = 1),
+top AS (SELECT d.*, co.repository, co.file_path, co.license, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, d.url) AS match_rank FROM dd d JOIN co USING (corpus_id))
+{stage}"""
+
+
+@register("x7_check_code", gram_chain_sql(X7_SELECT))
 def q_x7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best matches of each file among all blocks of the corpus."""
     return CC.code_matches(spark, sf_dir, LANGS4)
 
 
+@register("x7_reference_budget", chain_sql(X7_SELECT))
+def q_x7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the candidates that the reference's search gives: five terms a block, the three newest files of each."""
+    return CC.check_code(CC.submitted_files(spark, sf_dir, LANGS4), CC.corpus_files(spark, sf_dir, LANGS4), C.REFERENCE_BUDGET)
+
+
+GRAM_PAIRS_FLOOR = 90
+
+
+@register("r9_gram_pairs", f"""
+WITH fbn AS (SELECT DISTINCT path, language, {normalize_sql('code', 'language')} AS norm FROM ({BQ.blocks_sql(LANGS4)}) b),
+none AS (SELECT language, norm, path AS corpus_id, path AS url, 0 AS posting_rank, '' AS cname FROM fbn WHERE false),
+{_similar_sql('fbn', 'none')}
+SELECT x.language, sha256(x.norm) AS text_a, sha256(y.norm) AS text_b, h.similarity
+FROM (SELECT a, b, similarity FROM half UNION ALL SELECT b, a, similarity FROM half) h JOIN tx x ON x.i = h.a JOIN tx y ON y.i = h.b WHERE h.similarity >= {GRAM_PAIRS_FLOOR / 100} AND x.norm < y.norm""")
+def q_r9_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 `grams`: every pair of different normalized blocks of a language that are at least 90 % similar; r9_gram_members lists
+    the blocks of each text."""
+    texts = block_texts(spark, sf_dir).select("language", "norm").distinct()
+    texts = CC.kept(texts.select(F.col("language").alias("scope"), F.sha2("norm", 256).alias("id"), "norm"), "texts")
+    names, elements, sets = gram_sets(texts, 3, keep=CC.kept)
+    names = names.join(texts, ["scope", "id"])
+    name = lambda c: names.select(F.col("i").alias(c), F.col("scope").alias("language"), F.col("id").alias(f"text_{c}"), F.col("norm").alias(f"{c}_norm"))
+    pairs = gram_pairs(elements, sets, GRAM_PAIRS_FLOOR).where("a < b").join(name("a"), "a").join(name("b").drop("language"), "b")
+    swap = F.col("a_norm") < F.col("b_norm")
+    pair = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    return pairs.select("language", pair("text_a", "text_b").alias("text_a"), pair("text_b", "text_a").alias("text_b"), "similarity")
+
+
+@register("r9_gram_members", f"SELECT path, language, CAST(block_id AS INTEGER) AS block_id, sha256({normalize_sql('code', 'language')}) AS text FROM ({BQ.blocks_sql(LANGS4)}) b")
+def q_r9_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_texts(spark, sf_dir).select("path", "language", "block_id", F.sha2("norm", 256).alias("text"))
+
+
+def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = B.block_rows(CC.submitted_files(spark, sf_dir, LANGS4), ["path"])
+    return blocks.select("path", "language", "block_id", T.normalize("code", "language").alias("norm"))
+
+
 @register("t5_select_terms", chain_sql("SELECT path, CAST(block_id AS INTEGER) AS block_id, term, CAST(term_rank AS INTEGER) AS term_rank FROM terms"))
 def q_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = CC.submitted_files(spark, sf_dir, LANGS4)
@@ -263,6 +341,28 @@ SELECT path, url, repository, license, similarity, CAST(match_rank AS INTEGER) A
 FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, url) AS match_rank FROM dd) WHERE match_rank <= {C.TOP_CODE_MATCHES}"""
 
 
-@register("x6_whole_file_match", files_sql())
+def gram_files_sql(files: str | None = None) -> str:
+    """Whole-file matches among all files of the corpus."""
+    from copyhound.plans.blocks_q import strip_sql
+    keep = " OR ".join(f"starts_with({strip_sql('l')}, '{p}')" for p in C.FALLBACK_SKIP_PREFIXES)
+    body = lambda x: f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT ({keep})), chr(10))"
+    return f"""
+WITH fm AS MATERIALIZED (SELECT path, language, {normalize_sql('code', 'language')} AS norm FROM (SELECT path, language, {body('code')} AS code FROM {files or V.code_files_sql()} x)),
+co AS MATERIALIZED {corpus_sql()},
+ck AS MATERIALIZED (SELECT language, {normalize_sql('code', 'language')} AS norm, corpus_id, url, 0 AS posting_rank, '' AS cname
+       FROM (SELECT language, {body('content')} AS code, corpus_id, url FROM co)),
+{_similar_sql('fm', 'ck')},
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, url ORDER BY similarity DESC, corpus_id) AS r2 FROM near) WHERE r2 = 1)
+SELECT path, url, repository, license, similarity, CAST(match_rank AS INTEGER) AS match_rank
+FROM (SELECT d.path, d.url, d.similarity, co.repository, co.license, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, d.url) AS match_rank FROM dd d JOIN co USING (corpus_id))
+WHERE match_rank <= {C.TOP_CODE_MATCHES}"""
+
+
+@register("x6_whole_file_match", gram_files_sql())
 def q_x6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CC.check_files(CC.submitted_files(spark, sf_dir), CC.corpus_files(spark, sf_dir))
+
+
+@register("x6_reference_budget", files_sql())
+def q_x6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CC.check_files(CC.submitted_files(spark, sf_dir), CC.corpus_files(spark, sf_dir), C.FALLBACK_BUDGET)
