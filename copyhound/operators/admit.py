@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyhound import config as C
@@ -113,6 +113,19 @@ def encoding(content) -> Column:
     return F.when(F.is_valid_utf8(_c(content).cast("string")), F.lit("utf-8")).otherwise(F.lit("latin-1"))
 
 
+def read_files(spark: SparkSession, root: str, pattern: str | None = None, strict_utf8: bool = False) -> DataFrame:
+    """Path (below root), length, encoding, text of the files of a tree, all levels; ``pattern`` is a glob over base names.
+
+    ``strict_utf8`` leaves out files that aren't UTF-8, as archive members are; else they are read as Latin-1. A query that
+    doesn't ask for text or encoding never opens the files. Empty files aren't listed: Spark's reader leaves them out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader if pattern is None else reader.option("pathGlobFilter", pattern)).load(root)
+    files = files.where(is_utf8("content")) if strict_utf8 else files
+    inside = "/" + root.rstrip("/").split(":", 1)[-1].strip("/") + "/"  # without a scheme, which a path may have or not
+    below = F.substr("path", F.instr("path", F.lit(inside)) + len(inside), F.length("path"))
+    return files.select(below.alias("path"), "length", encoding("content").alias("encoding"), decode_text("content").alias("text"))
+
+
 # --- S2 ---------------------------------------------------------------------
 def read_members(members: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Archive members that are read at all: no directories, no hidden base names, UTF-8 bytes only."""

@@ -81,14 +81,19 @@ def similar_sources(mine: DataFrame, theirs: DataFrame, cfg: C.CheckConfig, toke
     return mine.drop("norm").join(found, ["scope", "id"]).drop("scope", "id")
 
 
-def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(), token_k: int = 3) -> DataFrame:
+def corpus_blocks(corpus: DataFrame) -> DataFrame:
+    """The corpus's blocks with their normalized text, extracted once and kept as a table."""
+    rows = B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
+    return kept(rows.withColumn("norm", T.normalize("code", "language")), "corpus-blocks")
+
+
+def check_code(files: DataFrame, corpus: DataFrame, cfg: C.CheckConfig = C.CheckConfig(), token_k: int = 3, known: DataFrame | None = None) -> DataFrame:
     """Code matches per file: path, url, repository, file_path, license, similarity,
-    original_block, matched_block, block_type, match_rank."""
+    original_block, matched_block, block_type, match_rank. ``known``: the corpus_blocks, where they are stored already."""
     key = ["path"]
     # block rows feed terms, scoring and the report: extracted once and kept as tables
     fblocks = kept(B.block_rows(files, key).withColumn("norm", T.normalize("code", "language")), "file-blocks")
-    cblocks = kept(B.block_rows(corpus.select("corpus_id", F.col("content").alias("code"), "language"), ["corpus_id"])
-                   .withColumn("norm", T.normalize("code", "language")), "corpus-blocks")
+    cblocks = corpus_blocks(corpus) if known is None else known
     if cfg.candidates == "grams":
         theirs = cblocks.select("language", "norm", "corpus_id", F.col("block_rank").alias("posting_rank"), F.col("name").alias("cname"))
         theirs = theirs.join(corpus.select("corpus_id", "url"), "corpus_id")

@@ -18,3 +18,4 @@ from copyhound.plans import stream_q  # noqa: E402,F401
 from copyhound.plans import more_q  # noqa: E402,F401
 from copyhound.plans import alias_q  # noqa: E402,F401
 from copyhound.plans import full_check  # noqa: E402,F401
+from copyhound.plans import index_q  # noqa: E402,F401
