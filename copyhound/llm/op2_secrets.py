@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from copyhound.functions import text as T
 from copyhound.llm.shared import documents
 
 ALPHA = 0.001
@@ -31,6 +32,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Stands for a candidate's character that a base span holds.
+_TAKEN = "\x01"
 #: The alphabets in order of their digits.
 _HEX, _BASE32, _BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Letters A to Z in a thousand letters of English text.
@@ -43,22 +47,16 @@ def _let(value: Column, use) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+    """array<struct<start, stop, m>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The pieces between the matches and the matches themselves alternate, so a match starts where the pieces and
-    matches before it end."""
+    The pieces between the matches and the matches themselves alternate, so a match ends where the pieces and matches
+    up to it end."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(h: Column) -> Column:
-        step = F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,m:string>>").alias("out"))
-
-        def add(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            end = begin + F.char_length(x["m"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("stop"), x["m"].alias("m")))).alias("out"))
-
-        return F.aggregate(step, start, add, lambda acc: acc["out"])
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, m: F.char_length(g) + F.char_length(m))
+        return F.zip_with(h, T.running(sizes, lambda a, x: a + x, 0), lambda m, end: F.struct(
+            (end - F.char_length(m)).cast("int").alias("start"), end.cast("int").alias("stop"), m.alias("m")))
 
     none = F.array().cast("array<struct<start:int,stop:int,m:string>>")
     return F.when(F.regexp_like(text, F.lit(pattern)), _let(hits, placed)).otherwise(none)
@@ -68,10 +66,13 @@ def _spans(matches: Column, rank: int) -> Column:
     return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop")))
 
 
+def _assigned(match: Column) -> Column:
+    return F.char_length(F.regexp_extract(match, ASSIGN, 2)) >= 6
+
+
 def base_spans(text: Column) -> list[Column]:
     """The spans of assign, access and hex."""
-    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
-    assign = F.filter(found(text, ASSIGN), lambda x: F.char_length(value(x["m"])) >= 6)
+    assign = F.filter(found(text, ASSIGN), lambda x: _assigned(x["m"]))
     return [_spans(assign, 0), _spans(found(text, ACCESS), 1), _spans(found(text, HEX), 2)]
 
 
@@ -179,11 +180,31 @@ def scanned(docs: DataFrame, alpha: float = ALPHA, base: str = "scan_base", span
     bases = F.sort_array(F.concat(*base_spans(text)))
     limit = lambda s: F.coalesce(*[F.when(length_class(s) == c, F.lit(b)) for c, b in sorted(cuts.items())], F.lit(MOST_BINS + 1))
     out = docs.withColumn(base, bases)
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    more = F.filter(found(text, CANDIDATE), lambda x: free(x) & (text_bin(x["m"]) >= limit(x["m"])) & (random_p(x["m"]) >= RANDOM_P))
+    every = found(text, CANDIDATE)
+    free = F.when((F.size(base) > 0) & F.regexp_like(text, F.lit(CANDIDATE)), _let(every, lambda c: _free(text, c))).otherwise(every)
+    more = F.filter(free, lambda x: (text_bin(x["m"]) >= limit(x["m"])) & (random_p(x["m"]) >= RANDOM_P))
     return out.withColumn(spans, F.sort_array(F.concat(base, _spans(more, 3))))
 
 
+def _free(text: Column, candidates: Column) -> Column:
+    """The candidates that no base span overlaps, in one pass over the text for each kind: with a span's characters marked in
+    place, the runs stay where they are, and a run that holds a mark is taken."""
+    clean = F.translate(text, _TAKEN, " ")
+    runs = CANDIDATE.replace("[", f"[{_TAKEN}", 1)
+
+    def marked(t: Column, pattern: str, counts) -> Column:
+        gaps = F.split(t, pattern, -1)
+        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.when(counts(m), F.translate(m, _LETTERS, _TAKEN * len(_LETTERS))).otherwise(m))
+        whole = _let(gaps, lambda g: _let(hits, lambda h: F.concat(
+            F.array_join(F.zip_with(F.slice(g, F.lit(1), F.size(h)), h, lambda a, b: F.concat(a, b)), ""), F.element_at(g, -1))))
+        found_in = _let(whole, lambda w: F.transform(F.regexp_extract_all(w, F.lit(runs), F.lit(0)), lambda r: F.contains(r, F.lit(_TAKEN))))
+        return F.when(F.regexp_like(t, F.lit(pattern)), found_in)  # null: nothing is taken
+
+    every = lambda m: F.lit(True)
+    taken = _let(clean, lambda t: F.array(marked(t, ASSIGN, _assigned), marked(t, ACCESS, every), marked(t, HEX, every)))
+    return _let(taken, lambda k: F.filter(candidates, lambda x, i: ~F.exists(k, lambda flags: F.coalesce(F.get(flags, i), F.lit(False)))))
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["rank"] + 1)
@@ -198,15 +219,23 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", alpha: float = ALPHA) -> D
         spans = f"_{spans}"
     found_in = scanned(docs, alpha, f"{spans}_base", spans)
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    size = 1 << 12  # the text in pieces, so that taking out a part doesn't count through all before it
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def part(c: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / size).cast("int")
+        near = F.array_join(F.slice(c, first + 1, F.floor(end / size).cast("int") - first + 1), "")
+        return F.substr(near, (begin - first * size + 1).cast("int"), (end - begin).cast("int"))
 
-    def add(acc: Column, x: Column) -> Column:
-        fresh = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+    def masked(c: Column, x: Column) -> Column:
+        before = lambda reach, i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))  # noqa: E731  where the spans before end
+        reach = T.running(F.transform(x, lambda s: s["stop"]), F.greatest, 0)
+        return _let(reach, lambda e: F.concat(
+            F.array_join(F.transform(x, lambda s, i: F.when(s["start"] >= before(e, i), F.concat(part(c, before(e, i), s["start"]), F.lit(mark))).otherwise("")), ""),
+            part(c, F.element_at(e, -1), F.char_length(text))))
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text)))
     clean = f"{spans}_text"  # under a name of its own: inside a lambda, `text` could mean a new column of that name
-    found_in = found_in.withColumn(clean, F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text))
+    found_in = found_in.withColumn(clean, F.when(F.size(spans) > 0, _let(chunks, lambda c: _let(F.col(spans), lambda x: masked(c, x)))).otherwise(text))
     counted = F.when(F.size(spans) > 0, F.char_length(clean).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return found_in.select(*[F.col(clean).alias(c) if c == "text" else counted.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from copyhound.llm import op2_secrets, op3_token_files, op4_rule_cascade, op8_pieces, op9_packing
 from copyhound.llm.shared import scratch
@@ -256,3 +257,37 @@ def test_empty_tables(spark, docs):
     assert op8_pieces.encode_decode(none, vocabulary_path("piece_bpe_32k.model")).count() == 0
     assert op4_rule_cascade.filtered(none).count() == 0
     assert op2_secrets.redacted(none).count() == 0
+
+
+def test_spans_and_redaction_by_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["password=abcdefgh", "AKIA" + "A" * 17, "0123456789abcdef" * 2, " x", "\n", "é日", "token: 'zzzzzz'", "Zx9Kq2LmB7vWc4Rt8YpN1sDf", "-", "\x01", "secret=a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "x" * 5000 + " password=abcdefgh " + "y" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op2_secrets.redacted(df).collect()}
+    cuts = op2_secrets.discovery_bins(df)
+    pool = {m for t in texts for m in re.findall(op2_secrets.CANDIDATE, t or "")}
+    judged = spark.createDataFrame([(m,) for m in pool], "s string").select(
+        "s", op2_secrets.length_class(F.col("s")).alias("c"), op2_secrets.text_bin(F.col("s")).alias("bin"), op2_secrets.random_p(F.col("s")).alias("p")).collect()
+    accepted = {r.s for r in judged if r.bin >= cuts.get(r.c, op2_secrets.MOST_BINS + 1) and r.p >= op2_secrets.RANDOM_P}
+    assert accepted
+    for r in op2_secrets.scanned(df).collect():
+        t = r.text or ""
+        base = spans_by_brute_force(t)
+        want = base + [(m.start(), 3, m.end()) for m in re.finditer(op2_secrets.CANDIDATE, t)
+                       if m[0] in accepted and not any(b[0] < m.end() and m.start() < b[2] for b in base)]
+        assert sorted(map(tuple, r.scan_spans)) == sorted(want)
+        out, at = "", 0
+        for a, _, b in sorted(want):
+            out += t[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert (clean[r.doc_id] or "") == out + t[at:]
+
+
+def test_very_many_matches_in_one_text(spark):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = op2_secrets.scanned(df).select(F.size("scan_base").alias("n"), F.element_at("scan_base", -1)["stop"].alias("end")).first()
+    assert (r.n, r.end) == (100_000, len(text))
+    assert op2_secrets.redacted(df).select(F.length("text")).first()[0] == 100_000 * 9 - 1
