@@ -7,6 +7,8 @@ gathering its n-grams' rows and adding them up by text.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +17,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyhound.llm import blocks as B
-from copyhound.llm.shared import documents, fold
+from copyhound.llm.shared import documents, fold, stored
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+_MARK, _LETTER = 1, 2
 _SEED = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1) for n in range(1, 9)}
 
 
-def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of UTF-8 texts with every run of non-letters as one 0, and each text's first place.
+@functools.cache
+def letter_table() -> np.ndarray:
+    """For each code point: _LETTER for Unicode's category L, _MARK for M (it stays inside a word), else 0."""
+    kinds = (unicodedata.category(chr(c))[0] for c in range(0x110000))
+    return np.fromiter((_LETTER if k == "L" else _MARK if k == "M" else 0 for k in kinds), np.uint8, 0x110000)
+
 
-    Lower case is that of ASCII, Latin-1, Greek and Cyrillic; letters are ASCII letters and all beyond U+00BF but the
-    two signs of Latin-1 and the general punctuation and symbols of U+2000..U+2BFF and U+3000..U+303F."""
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code points of UTF-8 texts with every run of neither letters nor marks as one 0, and each text's first
+    place. Lower case is that of ASCII, Latin-1, Greek and Cyrillic."""
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     b = data[at].astype(np.uint32)
@@ -41,9 +49,9 @@ def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for k in range(extra):
                 value = value << 6 | more[at[hit] + k] & 0x3F
             code[hit] = value
-    upper = ((code >= 65) & (code <= 90)) | ((code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)) | ((code >= 0x391) & (code <= 0x3A9)) | ((code >= 0x410) & (code <= 0x42F))
+    upper = ((code >= 65) & (code <= 90)) | ((code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)) | ((code >= 0x391) & (code <= 0x3A9) & (code != 0x3A2)) | ((code >= 0x410) & (code <= 0x42F))
     code[upper] += 32
-    letter = ((code >= 97) & (code <= 122)) | ((code >= 0xC0) & (code != 0xD7) & (code != 0xF7) & ~((code >= 0x2000) & (code <= 0x2BFF)) & ~((code >= 0x3000) & (code <= 0x303F)))
+    letter = letter_table()[code] > 0
     code[~letter] = 0
     first = np.searchsorted(at, off)
     keep = letter.copy()
@@ -107,16 +115,15 @@ def train(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = 0.5) -> L
             yield pa.RecordBatch.from_arrays([pa.array([one] * (len(at) + 1)), pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[rows[one]], array[at]]))], names=["lang", "cell", "n"])
 
     counted = labelled.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    packed = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    got = {r["lang"]: r["cells"] for r in packed.limit(MAX_LANGUAGES + 1).toLocalIterator()}
-    if len(got) > MAX_LANGUAGES:
+    counted = stored(counted, "gram-counts")
+    languages = [r["lang"] for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(got)
-    table = np.zeros((len(languages), cells))
-    prior = np.ones(len(languages))
-    for k, one in enumerate(languages):
-        cell = np.array([c[0] for c in got[one]])
-        n = np.array([c[1] for c in got[one]], float)
+    languages.sort()
+    table, prior = np.zeros((len(languages), cells)), np.ones(len(languages))
+    packed = counted.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))
+    for r in packed.toLocalIterator():  # a language at a time, straight into the matrix
+        k, cell, n = languages.index(r["lang"]), np.array(r["cells"]), np.array(r["ns"], float)
         prior[k] = n[cell < 0].sum()
         table[k, cell[cell >= 0]] = n[cell >= 0]
     table += smoothing
@@ -142,7 +149,7 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BUCKET_BITS) -> D
             for i, j, data, off in B.text_blocks(batch.column(at)):
                 code, bounds = code_points(data, off)
                 total = np.tile(m.log_prior, (j - i, 1))
-                letters = B.per_row((code != 0).astype(np.int64), bounds)
+                letters = B.per_row((letter_table()[code] == _LETTER).astype(np.int64), bounds)
                 for k, order in enumerate(ORDERS):
                     text, bucket = gram_buckets(code, bounds, order, bits)
                     edges = np.searchsorted(text, np.arange(j - i + 1))

@@ -370,3 +370,54 @@ def test_pipeline_rows_equal_the_stages_by_brute_force(spark):
             at += size
     got = corpus_pipeline.run(spark, sf).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
+
+
+def test_letters_are_those_of_unicode():
+    import unicodedata
+
+    import pyarrow as pa
+
+    from copyhound.llm import blocks as B
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    got = []
+    for _, _, data, off in B.text_blocks(pa.array([chr(c) for c in points])):
+        code, bounds = op5_language.code_points(data, off)
+        got += B.per_row((op5_language.letter_table()[code] == 2).astype(np.int64), bounds).tolist()
+    assert [c for c, n in zip(points, got) if n] == [c for c in points if unicodedata.category(chr(c)).startswith("L")]
+
+
+def test_language_by_brute_force(spark):
+    """Counts, posteriors and und in plain Python, with each n-gram's bucket taken from the operator."""
+    import pyarrow as pa
+
+    from copyhound.llm import blocks as B
+
+    def cells(text):
+        out = []
+        for _, _, data, off in B.text_blocks(pa.array([text])):
+            code, bounds = op5_language.code_points(data, off)
+            for k, order in enumerate(op5_language.ORDERS):
+                out += [(k, int(b)) for b in op5_language.gram_buckets(code, bounds, order)[1]]
+        return out
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(w) for _ in range(rng.randint(1, 9))), lang) for i in range(60)
+            for lang, w in (("aa", ["the", "of", "and"]), ("bb", ["der", "und", "für", "the"]))]
+    tests = [None, "", "12 ٣ ４！", "\U0001F600 €", "º", "the für", "der der", "xyz", "日本"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op5_language.train(docs)
+    got = op5_language.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()
+    counts = {lang: {} for lang in ("aa", "bb")}
+    for _, text, lang in rows:
+        for cell in cells(text):
+            counts[lang][cell] = counts[lang].get(cell, 0) + 1
+    total = {(lang, k): sum(n for (j, _), n in c.items() if j == k) + 0.5 * 2 ** op5_language.BUCKET_BITS for lang, c in counts.items() for k in range(3)}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        text = tests[r.doc_id]
+        if not any(ch.isalpha() for ch in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {lang: np.log(0.5) + sum(np.log((c.get(cell, 0) + 0.5) / total[lang, cell[0]]) for cell in cells(text)) for lang, c in counts.items()}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        assert r.lang_pred == best and abs(r.score - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-4
