@@ -11,6 +11,8 @@ at the first ``}`` (the nested-looking form is equivalent to ``\\{[^}]*\\}``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,38 +249,39 @@ BALANCED_HEADS = {
 CONTROL_WORDS = ["if", "for", "while", "switch", "catch", "function", "return"]
 
 
-def balanced_blocks(files: DataFrame, key_cols, code_col: str = "clean", lang_col: str = "language") -> DataFrame:
+def balanced_blocks(files: DataFrame, key_cols, code_col: str = "clean", lang_col: str = "language",
+                    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Blocks from their head to the brace that closes it: keys, block_type, name, code, line_start.
 
     Braces are rows with a running depth, and an open brace at a depth is closed by the next close brace that leads out
     of it. Heads are matched up to their open brace, so blocks inside blocks are found too. A method is a head whose
-    enclosing brace opens a class, named Class.method; a function stands in no class. An unclosed block isn't one."""
+    enclosing brace opens a class, named Class.method; a function stands in no class. An unclosed block isn't one.
+    ``keep`` stores a table that is read more than once."""
     keys = list(key_cols)
-    upto = lambda *by: Window.partitionBy(*keys, *by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
 
-    def placed(df: DataFrame, pattern: str) -> DataFrame:
-        """keys, clean, k, m, start: the matches of a pattern and where they begin (0-based)."""
+    def placed(pattern: str, more) -> Column:
+        """array of structs for the matches of a pattern: more(match, its start (0-based), its end, its line)."""
         found = F.regexp_extract_all(code_col, F.lit(pattern), F.lit(0))
         gaps = F.slice(F.split(code_col, pattern, -1), F.lit(1), F.size(found))
-        rows = df.select(*keys, lang_col, F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("m"))).alias("k", "z"))
-        ends = F.sum(F.length("z.gap") + F.length("z.m")).over(upto())
-        lines = F.sum(newlines(F.col("z.gap")) + newlines(F.col("z.m"))).over(upto())
-        return rows.select(*keys, lang_col, "k", F.col("z.m").alias("m"), (ends - F.length("z.m")).alias("start"), ends.alias("stop"),
-                           (1 + lines - newlines(F.col("z.m"))).alias("line_start"))
-
-    opens = F.col("m") == "{"
-    braces = placed(files, r"[{}]").withColumn("depth", F.sum(F.when(opens, 1).otherwise(-1)).over(upto()))
+        total = lambda s, n: T.running(F.zip_with(s["g"], s["m"], lambda g, m: n(g) + n(m)), lambda x, y: x + y, 0)
+        ends = lambda s: F.arrays_zip(s["m"].alias("m"), total(s, F.length).alias("stop"), total(s, newlines).alias("lines"))
+        zipped = T.let(F.struct(gaps.alias("g"), found.alias("m")), ends)
+        return F.transform(zipped, lambda z: more(z["m"], z["stop"] - F.length(z["m"]), z["stop"], (1 + z["lines"] - newlines(z["m"])).cast("int")))
+
+    marks = T.let(placed(r"[{}]", lambda m, start, stop, line: F.struct(m.alias("m"), start.alias("start"))), lambda b: F.arrays_zip(
+        b.alias("at"), T.running(F.transform(b, lambda x: F.when(x["m"] == "{", 1).otherwise(-1)), lambda x, y: x + y, 0).alias("depth")))
+    braces = files.select(*keys, F.posexplode(marks).alias("k", "z")).select(*keys, "k", "z.at.m", "z.at.start", "z.depth")
     braces = braces.withColumn("level", F.when(F.col("m") == "{", F.col("depth")).otherwise(F.col("depth") + 1))
     braces = braces.withColumn("closed", F.lead("start").over(Window.partitionBy(*keys, "level").orderBy("k")))
     blocks = braces.where("m = '{'").select(*keys, F.col("start").alias("brace"), "closed", "level")
-    heads = None
-    for language, kinds in BALANCED_HEADS.items():
-        part = files.where(F.col(lang_col) == language)
-        for kind, pattern in kinds:
-            h = placed(part, pattern).select(*keys, F.lit(kind).alias("block_type"), F.regexp_extract("m", pattern, 1).alias("name"),
-                                             "start", (F.col("stop") - 1).alias("brace"), "line_start")
-            heads = h if heads is None else heads.unionByName(h)
-    found = heads.where(~F.col("name").isin(CONTROL_WORDS)).join(blocks, [*keys, "brace"]).where("closed is not null")
+
+    def of(kind: str, pattern: str) -> Column:
+        return placed(pattern, lambda m, start, stop, line: F.struct(
+            F.lit(kind).alias("block_type"), F.regexp_extract(m, pattern, 1).alias("name"), start.alias("start"), (stop - 1).alias("brace"), line.alias("line_start")))
+
+    heads = F.coalesce(*[F.when(F.col(lang_col) == language, F.concat(*[of(*kind) for kind in kinds])) for language, kinds in BALANCED_HEADS.items()])
+    heads = files.select(*keys, F.explode(heads).alias("h")).select(*keys, "h.*")
+    found = keep(heads.where(~F.col("name").isin(CONTROL_WORDS)).join(blocks, [*keys, "brace"]).where("closed is not null"), "balanced")
     classes = found.where("block_type = 'class'").select(*keys, F.col("name").alias("owner"), F.col("brace").alias("from"), F.col("closed").alias("to"), (F.col("level") + 1).alias("level"))
     inner = found.join(classes, [*keys, "level"], "left").where("owner is null or (brace > `from` and brace < `to`)")
     lone = found.join(inner.select(*keys, "brace").distinct(), [*keys, "brace"], "left_anti").withColumn("owner", F.lit(None).cast("string"))
@@ -286,7 +289,7 @@ def balanced_blocks(files: DataFrame, key_cols, code_col: str = "clean", lang_co
     own = both.where((F.col("block_type") != "method") | F.col("owner").isNotNull()).where((F.col("block_type") != "function") | F.col("owner").isNull())
     named = F.when(F.col("block_type") == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
     text = files.select(*keys, F.col(code_col).alias("whole"))
-    return own.join(text, keys).select(*keys, "block_type", named.alias("name"), F.col("line_start").cast("int").alias("line_start"),
+    return own.join(text, keys).select(*keys, "block_type", named.alias("name"), "line_start",
                                        F.substr("whole", (F.col("start") + 1).cast("int"), (F.col("closed") - F.col("start") + 1).cast("int")).alias("code"))
 
 

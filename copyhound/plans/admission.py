@@ -12,7 +12,7 @@ from copyhound.operators import admit as A
 from copyhound.operators import report as R
 from copyhound.plans import code_views as V
 from copyhound.plans.catalog import register
-from copyhound.session import scratch_path
+from copyhound.session import kept, scratch_path
 from copyhound.sources.tables import read_table
 
 # --- SQL fragments (DuckDB) -------------------------------------------------
@@ -155,7 +155,9 @@ FROM g"""
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.admit(V.upload_files(spark, sf_dir), V.archive_members(spark, sf_dir))
+    # the view is a long expression: printed once as a table, so that no column repeats it
+    uploads = kept(V.upload_files(spark, sf_dir), "uploads")
+    return A.admit(uploads, V.archive_members(spark, sf_dir, uploads))
 
 
 @register("f10_admit", admit_sql())

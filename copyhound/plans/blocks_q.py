@@ -10,6 +10,7 @@ from copyhound.functions import text as T
 from copyhound.operators import blocks as B
 from copyhound.plans import code_views as V
 from copyhound.plans.catalog import register
+from copyhound.session import kept
 from copyhound.plans.normalization import strip_comments_sql
 
 REGEX_LANGS = V.LANGS
@@ -203,7 +204,7 @@ FROM ow JOIN f USING (path) WHERE (block_type <> 'method' OR owner IS NOT NULL)
 @register("b9_blocks_balanced", balanced_sql())
 def q_b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = V.code_files(spark, sf_dir, list(B.BALANCED_HEADS)).select("path", "language", T.strip_comments("code", "language").alias("clean"))
-    return B.balanced_blocks(f, ["path"])
+    return B.balanced_blocks(kept(f, "cleaned"), ["path"], keep=kept)
 
 
 @register("b8_blocks_fallback", f"""

@@ -7,7 +7,6 @@ find in the token index (``"hits"``, with budgets: ``C.REFERENCE_BUDGET`` is wha
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from copyhound.operators import terms as TM
 from copyhound.operators.gram_join import top_sources
 from copyhound.operators.similarity import best_block_match, pair_similarity
 from copyhound.plans import code_views as V
-from copyhound.session import scratch_path
+from copyhound.session import kept
 from copyhound.sources.tables import read_table
 
 REPO_SQL = "concat('repo', p_partkey % 120)"
@@ -50,13 +49,6 @@ def submitted_files(spark: SparkSession, sf_dir: str, langs=None) -> DataFrame:
     return V.code_files(spark, sf_dir, langs).select("path", "language", "code", F.col("path").alias("self_id"))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again."""
-    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def score_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey, rkey, token_k: int) -> DataFrame:
     """pairs with ``similarity`` (X1 on token grams) of left (lkey, norm) and right (rkey, norm). Every pair of different
     normalized texts is scored once, however many files share them."""

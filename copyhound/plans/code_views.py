@@ -104,7 +104,7 @@ def _bytes(is_text: str, text: str):
 
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files view: submission_id, path, length, text, content (its bytes)."""
-    p = read_table(spark, sf_dir, "part").withColumn("content", _bytes(FILES_IS_TEXT_SQL, FILES_TEXT_SQL))
+    p = spread(read_table(spark, sf_dir, "part"), "p_partkey").withColumn("content", _bytes(FILES_IS_TEXT_SQL, FILES_TEXT_SQL))
     return p.selectExpr(f"{FILES_SUB_SQL} AS submission_id", f"{FILES_PATH_SQL} AS path",
                         f"{FILES_LEN_SQL} AS length", f"{FILES_TEXT_SQL} AS text", "content")
 
@@ -114,9 +114,11 @@ def upload_files_sql() -> str:
             f"{FILES_LEN_SQL} AS length, {FILES_TEXT_SQL} AS text, {FILES_IS_TEXT_SQL} AS is_text FROM part)")
 
 
-def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the archives of the files view hold, already unpacked: submission_id, archive, path, length, text, content."""
-    z = upload_files(spark, sf_dir).where("path LIKE '%.zip'").withColumnRenamed("path", "archive")
+def archive_members(spark: SparkSession, sf_dir: str, uploads: DataFrame | None = None) -> DataFrame:
+    """What the archives of the files view (or of ``uploads``, the view as it was stored) hold, already unpacked:
+    submission_id, archive, path, length, text, content."""
+    files = upload_files(spark, sf_dir) if uploads is None else uploads
+    z = files.where("path LIKE '%.zip'").withColumnRenamed("path", "archive")
     member = F.explode(F.array(*[F.struct(F.lit(x).alias("suffix"), F.lit(t).alias("is_text")) for x, t in MEMBERS])).alias("m")
     z = z.select("submission_id", "archive", "length", "text", member)
     return z.select("submission_id", "archive", F.concat("archive", "m.suffix").alias("path"), "length", "text",

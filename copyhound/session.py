@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 SPREAD_CONF = "spark.copyhound.spread.partitions"
@@ -60,5 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, and lost executors cost no earlier step."""
+    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex[:8]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
