@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from copyhound.llm import blocks as B
 from copyhound.llm.components import merged
-from copyhound.llm.shared import documents, stored
+from copyhound.llm.shared import documents, spent, stored
 
 WORDS = 4
 PERCENT = 85
 FIRST_PIVOTS = 4
 MORE_PIVOTS = 16
+SALTS = 16
+_BLOCK = 1 << 21
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -77,49 +79,138 @@ def _int(c: Column) -> Column:
     return F.floor(c).cast("long")
 
 
-def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n, sig, first): set size, 128-bit signature of the set, its first shingles in order of the hash."""
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_hash, n, sig, key): set size, 128-bit signature of the set and its 64 low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for i, j, data, off in B.text_blocks(batch.column(2)):
-                n, sig, first = [], [], []
+                n, sig, key = [], [], []
                 for s in shingles(data, off, k):
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    first.append(s[:len(s) - _least(len(s), percent) + max(1, _extra(len(s)))])
-                ends = np.cumsum([0] + [len(x) for x in first]).astype(np.int32)
-                values = np.concatenate(first).view(np.int64)
+                    key.append(_key(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "text_hash", "n", "sig", "first"])
+                    [batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.int64())],
+                    names=["doc_id", "text_hash", "n", "sig", "key"])
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(run, "doc_id long, text_hash long, n long, sig binary, first array<long>")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, n long, sig binary, key long")
+
+
+def _key(s: np.ndarray) -> int:
+    """A number of a set, never 0."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[8:], "little", signed=True) or 1
+
+
+def _held_first(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """(key, held): how many of a set's first shingles, in the order of their hashes, other sets have among theirs; never
+    too few. Sets that several blocks hold may get more.
+
+    Shingles meet in 2^bits buckets, packed: 4 bytes of the shingle's hash, 8 of the set's key. What several sets of one
+    block hold is counted there and goes out once without a key, so a hot shingle sends a row a block, not one a set."""
+
+    def packed(h: list[np.ndarray], p: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, p = B.mix(np.concatenate(h)), np.concatenate(p)
+        order = np.lexsort((p, h))
+        h, p = h[order], p[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        pair = new | np.concatenate([[True], p[1:] != p[:-1]])
+        h, p, new = h[pair], p[pair], new[pair]
+        first = np.flatnonzero(new)
+        many = np.repeat(np.diff(np.append(first, len(h))) > 1, np.diff(np.append(first, len(h))))
+        keys, held = np.unique(p[many], return_counts=True)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([int(h[0] & np.uint64((1 << bits) - 1))], pa.int32()), pa.array([held.astype("<u4").tobytes()]), pa.array([keys.tobytes()]), pa.array([True])],
+                                             names=["bucket", "h", "p", "counted"])
+        p = np.where(many, 0, p)[new | ~many]
+        h = h[new | ~many]
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        low = (h >> np.uint64(32 - bits)).astype("<u4")
+        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[b], edges[b + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([low[at].tobytes()]), pa.array([p[at].tobytes()]), pa.array([False])], names=["bucket", "h", "p", "counted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, p, size = [], [], 0
+        for batch in batches:
+            for _, _, data, off in B.text_blocks(batch.column(0)):
+                for s in shingles(data, off, k):
+                    if len(s):
+                        first = s[:len(s) - _least(len(s), percent) + max(1, _extra(len(s)))]
+                        h.append(first)
+                        p.append(np.full(len(first), _key(s)))
+                        size += len(first)
+                if size >= _BLOCK:
+                    yield from packed(h, p)
+                    h, p, size = [], [], 0
+        if h:
+            yield from packed(h, p)
+
+    def met(rows: pa.Table) -> pa.Table:
+        counted = rows.column("counted").to_numpy()
+        h = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("h")]
+        p = [np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("p")]
+        keys, held = [p[r] for r in np.flatnonzero(counted)], [h[r].astype(np.int64) for r in np.flatnonzero(counted)]
+        rest = np.flatnonzero(~counted)
+        if len(rest):
+            h, p = np.concatenate([h[r] for r in rest]), np.concatenate([p[r] for r in rest])
+            order = np.lexsort((p, h))
+            h, p = h[order], p[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            pair = new | np.concatenate([[True], p[1:] != p[:-1]])
+            h, p, new = h[pair], p[pair], new[pair]
+            n = np.diff(np.append(np.flatnonzero(new), len(h)))
+            # without a key: more than one set of a block
+            shared = np.repeat((n > 1) | (np.add.reduceat(p == 0, np.flatnonzero(new)) > 0), n) & (p != 0)
+            unique, count = np.unique(p[shared], return_counts=True)
+            keys.append(unique)
+            held.append(count)
+        return pa.table({"key": np.concatenate(keys), "held": np.concatenate(held)})
+
+    sent = docs.select("text").mapInArrow(run, "bucket int, h binary, p binary, counted boolean")
+    return sent.groupBy("bucket").applyInArrow(met, "key long, held long").groupBy("key").agg(F.sum("held").alias("held"))
+
+
+def _near_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc_id, text_hash, text) of docs that can be wanted by their text's hash, and some others.
+
+    The wanted hashes set bits of one bitmap of 2^23 bits at any size, so what reaches the driver is bounded."""
+    place = F.col("first_hash").bitwiseAND((1 << 23) - 1)
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(first_hash & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << 17, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("text_hash").to_numpy().view(np.uint64) & np.uint64((1 << 23) - 1)
+            yield batch.filter(pa.array((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, text string")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(point, n, tokens) of the wanted points (point, n, sig, first_id), from the texts of their documents."""
+    """(point, n, tokens) of the wanted points (point, first_id, first_hash), from the texts of their documents. A point
+    whose document is there more than once has equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for i, j, data, off in B.text_blocks(batch.column(0)):
-                sig = batch.column(2).slice(i, j - i).to_pylist()
                 sets = list(shingles(data, off, k))
-                same = [r for r, s in enumerate(sets) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == sig[r]]
-                sets = [sets[r] for r in same]
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 values = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(i, j - i).take(pa.array(same, pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["point", "n", "tokens"])
+                    [batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["point", "n", "tokens"])
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return texts.select("text", "point", "sig").mapInArrow(run, "point long, n long, tokens array<long>").dropDuplicates(["point"])
+    texts = _near_texts(docs, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    return texts.select("text", "point").mapInArrow(run, "point long, n long, tokens array<long>")
 
 
 def _compared(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -134,23 +225,38 @@ def _compared(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _region_points(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The points that may have a neighbour: (point, n, central, held, tokens, cells); held: how many of its shingles
-    others have too."""
-    tokens = sets.select("point", "n", F.explode("first").alias("h"))
-    shared = tokens.groupBy("h").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high").select("h")
-    need = F.greatest(F.lit(1), _int(_int((F.col("n") * percent + 99) / 100) / 10))
-    some = tokens.join(shared, "h").groupBy("point").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") >= need).select("point")
-    wanted = stored(sets.select("point", "sig", "first_id").join(some, "point"), "wanted")
+    """The points that may have a neighbour: (point, n, central, held, tokens, cells); tokens: numbers of those of its
+    shingles that others have too, held: how many."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(6, (total >> 24).bit_length())
+    need = F.greatest(F.lit(1), _int(F.col("n") / 10))
+    some = sets.join(_held_first(docs, k, percent, bits), "key").where(F.col("held") >= need)
+    wanted = stored(some.select("point", "first_id", "first_hash"), "wanted")
     whole = stored(_whole_sets(docs, wanted, k), "sets")
-    tokens = whole.select("point", "n", F.explode("tokens").alias("h"))
-    shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    tokens = whole.select("point", F.explode("tokens").alias("h"))
+    shared = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").withColumn("place", F.monotonically_increasing_id()), "shared")
+    numbered = _numbered(shared)
     least = _int((F.col("n") * percent + 99) / 100)
-    held = tokens.join(shared, "h").groupBy("point").agg(
-        F.max("n").alias("n"), F.sum("df").alias("popularity"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).where(F.size("held") >= least)
+    held = tokens.join(numbered, "h").groupBy("point").agg(F.sum("df").alias("popularity"), F.sort_array(F.collect_set(F.struct("df", "id"))).alias("held"))
+    sizes = whole.select("point", "n").distinct()
+    held = held.join(sizes, "point").where(F.size("held") >= least)
     # Shingles that no other point has come first in the order; what they leave of the first ones are the cells.
-    cells = F.slice(F.col("held.h"), F.lit(1), (F.size("held") - least + 1).cast("int"))
-    held = held.select("point", (F.col("popularity") / F.col("n")).alias("central"), F.size("held").cast("long").alias("held"), cells.alias("cells"))
-    return stored(whole.join(held, "point"), "points")
+    cells = F.slice(F.col("held.id"), F.lit(1), (F.size("held") - least + 1).cast("int"))
+    points = stored(held.select("point", "n", (F.col("popularity") / F.col("n")).alias("central"), F.size("held").cast("long").alias("held"),
+                                F.sort_array("held.id").alias("tokens"), cells.alias("cells")), "points")
+    spent(wanted, whole, shared)
+    return points
+
+
+def _numbered(shared: DataFrame) -> DataFrame:
+    """(h, df, id) of the stored table (h, df, place): dense numbers, 32 bits wide while these suffice."""
+    part, least = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = shared.groupBy(part.alias("part")).count().toPandas().sort_values("part")
+    total = int(sizes["count"].sum())
+    starts = dict(zip(sizes["part"].tolist(), (sizes["count"].cumsum() - sizes["count"]).tolist()))
+    start = shared.sparkSession.createDataFrame(list(starts.items()), "part int, start long")
+    numbers = shared.withColumn("part", part.cast("int")).join(F.broadcast(start), "part")
+    return numbers.select("h", "df", (F.col("start") + least).cast("int" if total < 1 << 31 else "long").alias("id"))
 
 
 def _regions(points: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +270,9 @@ def _regions(points: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     regions = far.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "d")
     regions = regions.union(far.select(F.col("b").alias("pivot"), F.col("b").alias("point"), F.lit(0.0).alias("d")).distinct())
     regions = stored(regions.join(points.select("point", "central", "n", "held"), "point"), "regions")
-    return regions, far.where("linked").select("a", "b")
+    links = stored(far.where("linked").select("a", "b"), "links")
+    spent(far)
+    return regions, links
 
 
 def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -174,19 +282,22 @@ def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, per
     most_shared = F.least("held", "p_held")
     labels = merged(None, links)
     done = regions.select("pivot", "point").where("pivot = point")
+    # What is told a region's rows is told to each of its SALTS parts, so a large region is many tasks' work.
+    salt, salts = F.pmod(F.xxhash64("point"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     most = FIRST_PIVOTS
     while True:
         rows = regions.join(labels.select(F.col("v").alias("point"), "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
         rows = rows.join(done.withColumn("probed", F.lit(True)), ["pivot", "point"], "left").withColumn("probed", F.coalesce("probed", F.lit(False)))
         size = rows.groupBy("pivot", "label").agg(F.count("*").alias("size")).groupBy("pivot").agg(
             F.max(F.struct("size", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-        rows = stored(rows.join(size.select("pivot", F.col("largest.label").alias("major")), "pivot"), "rows")
+        size = size.select("pivot", F.col("largest.label").alias("major"), salts.alias("salt"))
+        rows = stored(rows.withColumn("salt", salt).join(size, ["pivot", "salt"]), "rows")
         order = W.partitionBy("pivot").orderBy(F.col("central").desc(), "point")
         probes = rows.where("label <> major and not probed").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
         probes = stored(probes.select("pivot", F.col("point").alias("p"), F.col("d").alias("pd"), F.col("n").alias("pn"), F.col("held").alias("p_held"), F.col("label").alias("p_label")), "probes")
         if probes.isEmpty():
             return labels
-        near = rows.where("not probed").join(probes, "pivot").where(
+        near = rows.where("not probed").join(probes.withColumn("salt", salts), ["pivot", "salt"]).where(
             (F.col("label") != F.col("p_label")) & (F.abs(F.col("d") - F.col("pd")) <= radius)
             & (100 * most_shared >= percent * (F.col("n") + F.col("pn") - most_shared)))
         pairs = near.select(F.least("p", "point").alias("a"), F.greatest("p", "point").alias("b")).distinct()
@@ -194,6 +305,7 @@ def _recursive_join(points: DataFrame, regions: DataFrame, links: DataFrame, per
         if not found.isEmpty():
             labels = merged(labels, found)
         done = stored(done.union(probes.select("pivot", F.col("p").alias("point"))), "probed")
+        spent(rows, probes)
         most *= MORE_PIVOTS
 
 
@@ -203,8 +315,9 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
     Null or wordless texts have 0 shingles and link with nothing; their component is their own doc_id. Rows with
     equal doc_ids are rows of their own; a null doc_id counts for a component's smallest only if all are null."""
-    rows = stored(_profiles(docs, k, percent), "profiles")
-    sets = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    rows = stored(_profiles(docs, k), "profiles")
+    first_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    sets = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), first_hash.alias("first_hash"), F.first("n").alias("n"), F.first("key").alias("key"))
     sets = stored(sets.withColumn("point", F.monotonically_increasing_id()), "distinct-sets")
     points = _region_points(sets, docs, k, percent)
     regions, links = _regions(points, percent)
