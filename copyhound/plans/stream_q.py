@@ -16,6 +16,7 @@ from copyhound.sources.tables import read_request_log
 from copyhound.streaming import check_stream as Z3
 from copyhound.streaming import quota as Z1
 from copyhound.streaming import ttl as Z2
+from copyhound.streaming import ttl_stream as Z2S
 
 # The log never reaches the real quotas (C.QUOTAS: 200 a day, 50 an hour, 10 a minute), so the queries pass low ones.
 LOW_QUOTAS = [("1 day", 5), ("1 hour", 1)]
@@ -23,6 +24,7 @@ register("z1_quota_violations", Z1.quota_sql(LOW_QUOTAS))(lambda s, d: Z1.quota_
 register("z1_quota_stream", Z1.quota_sql(LOW_QUOTAS))(lambda s, d: Z1.quota_violations_stream(s, d, LOW_QUOTAS, "400 days"))
 register("z1_default_quotas", Z1.quota_sql())(lambda s, d: Z1.quota_violations(read_request_log(s, d)))
 register("z2_ttl_hits", Z2.TTL_SQL)(Z2.batch)
+register("z2_ttl_stream", Z2.TTL_SQL)(lambda s, d: Z2S.ttl_stream(s, d))
 
 
 register("z3_check_stream", PS.copied_sql())(lambda s, d: Z3.check_stream(s, d))
