@@ -32,6 +32,8 @@ COSINE = 0.9
 SAMPLE = 16384
 ROUNDS = 40
 RADIUS = 11
+#: Codes farther apart aren't reranked. At cosine 0.9 a code of 64 bits differs in 8 or 9 bits on average, 16 at most of
+#: 8,000 pairs; 24 lies more than five deviations out.
 FARTHEST = 24
 PART = 8192
 _CHUNK = 1 << 18
@@ -73,15 +75,14 @@ def _matrix(raw: list[bytes], width: int) -> np.ndarray:
 
 
 class Rotation:
-    """code(x): bit k says on which side of the k-th learned direction x lies."""
+    """code(x): bit k says on which side of the k-th learned direction x lies, seen from the origin as the cosine is. So the
+    distance of two codes follows the angle, also where all vectors share a direction (codes from their mean lose pairs then)."""
 
     def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = ROUNDS, seed: int = 7):
         self.bits = min(bits, sample.shape[1])
-        self.mean = sample.mean(axis=0)
-        x = sample - self.mean
-        _, _, axes = np.linalg.svd(x.T @ x)
+        _, _, axes = np.linalg.svd(sample.T @ sample)
         axes = axes[:self.bits].T
-        v = x @ axes
+        v = sample @ axes
         turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.bits, self.bits)))[0]
         for _ in range(rounds):  # codes for the rotation, then the rotation for the codes
             b = np.where(v @ turn >= 0, 1.0, -1.0)
@@ -90,7 +91,7 @@ class Rotation:
         self.axes = axes @ turn
 
     def code(self, x: np.ndarray) -> np.ndarray:
-        bits = ((x - self.mean) @ self.axes >= 0).astype(np.uint64)
+        bits = (x @ self.axes >= 0).astype(np.uint64)
         return (bits << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 

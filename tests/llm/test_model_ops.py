@@ -265,6 +265,38 @@ def test_itq_neardup(spark):
     assert op7_itq_neardup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("strength", [0.0, 1.0, 2.0, 3.0])
+def test_codes_of_vectors_with_a_common_direction(strength):
+    """Of pairs with cosines from 0.9 on, the tables reach nearly all, whatever the number of vectors that cuts the code."""
+    rng = np.random.default_rng(1)
+    x = strength * np.eye(64)[0] + rng.normal(size=(4000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    c = rng.uniform(0.9, 1, size=(len(x), 1))
+    y = c * x + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rotation = op7_itq_neardup.Rotation(x)
+    a, b = rotation.code(x), rotation.code(y)
+    assert np.bitwise_count(a ^ b).max() <= op7_itq_neardup.FARTHEST
+    for points in (10_256, 51_282, 10 ** 7, 10 ** 9):
+        t = op7_itq_neardup.Tables(64, points)
+        found = np.zeros(len(x), bool)
+        for k in range(len(t.cuts)):
+            found |= np.bitwise_count(t.sub(a, k) ^ t.sub(b, k)) <= t.near
+        assert found.mean() >= 0.97
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    x = 2.0 * np.eye(48)[0] + rng.normal(size=(700, 48)) / 7
+    x = np.concatenate([x, x[:100] + rng.normal(size=(100, 48)) * 0.04])
+    got = op7_itq_neardup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    links = np.array([r.n_links for r in sorted(got.collect(), key=lambda r: r.vec_id)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert (links <= near).all() and links.sum() >= 0.98 * near.sum() > 0
+
+
 def test_substring_tables_find_every_pair_within_the_radius():
     t = op7_itq_neardup.Tables(64, 51282)
     assert sum(n for _, n in t.cuts) == 64 and (t.near + 1) * len(t.cuts) > op7_itq_neardup.RADIUS
