@@ -3,7 +3,7 @@
 A line's features describe it and, through coarse copies, the lines before and after it; two weights matrices make its
 score and a 2 x 2 table the transitions. Training sets every line of a labelled document to the document's label and
 maximises the conditional likelihood of the chains on a bounded sample of labelled documents (`SAMPLE` documents with
-the least hash, none over `MAX_CHARS`). A document's quality is the mean of its lines' forward-backward marginals, weighted by their length,
+the least hash, none over `MAX_CHARS`, of at most `MAX_LINES` lines together). A document's quality is the mean of its lines' forward-backward marginals, weighted by their length,
 then mapped to a probability by a logistic curve that is learned on the same sample.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from copyhound.sources.tables import read_table
 
 SAMPLE = 5000
 MAX_CHARS = 20000
+MAX_LINES = 500_000
 THRESHOLD = 0.3
 STEPS = 200
 SMOOTH = 1e-3
@@ -197,14 +199,22 @@ class LineChain:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineChain:
+def _bounded(texts: pa.ChunkedArray, most: int) -> int:
+    """How many of the texts, from the first on, have at most `most` lines together."""
+    n = 1 + pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy()
+    return int((np.cumsum(n) <= most).sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MAX_LINES) -> LineChain:
     """Learns from docs (doc_id, text) and labels (doc_id, quality): at most `sample` labelled documents of at most
-    MAX_CHARS characters, by least hash of the doc_id, which bounds what the driver gets; rows without a label (0 or 1) are left out. Without both labels the model scores 0.5 or the
-    one label's side."""
+    MAX_CHARS characters, by least hash of the doc_id, and of these, from the first on, as many as have at most
+    `most_lines` lines together, which bounds the features on the driver. Null text counts as one empty line; rows
+    without a label (0 or 1) are left out. Without both labels the model scores 0.5 or the one label's side."""
     marked = labels.where("quality in (0, 1)").select("doc_id", "quality")
     some = F.broadcast(marked.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
     texts = docs.select("doc_id", "text").where(F.char_length(F.coalesce("text", F.lit(""))) <= MAX_CHARS).join(some, "doc_id")
     table = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "quality").limit(sample).select("text", "quality").toArrow()
+    table = table.slice(0, _bounded(table.column("text"), most_lines))
     label = np.array(table.column("quality").to_pylist(), np.int64)
     chain = LineChain()
     if len(set(label.tolist())) < 2:

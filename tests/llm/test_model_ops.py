@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +454,13 @@ def test_language_by_brute_force(spark):
         logs = {lang: np.log(0.5) + sum(np.log((c.get(cell, 0) + 0.5) / total[lang, cell[0]]) for cell in cells(text)) for lang, c in counts.items()}
         best = max(sorted(logs), key=lambda x: logs[x])
         assert r.lang_pred == best and abs(r.score - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-4
+
+
+def test_the_lines_learned_from_are_bounded(spark):
+    texts = pa.chunked_array([pa.array(["a", "x\n" * 9, None]), pa.array(["b\nc", ""])], pa.string())
+    assert [op10_line_crf._bounded(texts, most) for most in (100, 15, 14, 12, 11, 1, 0)] == [5, 5, 4, 3, 2, 1, 0]
+    assert op10_line_crf._bounded(pa.chunked_array([], pa.string()), 4) == 0
+    docs = spark.createDataFrame([(k, "\n" * 40) for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    chain = op10_line_crf.train(docs, labels, most_lines=40)  # none fits: as without labels
+    assert [r.score for r in op10_line_crf.classify(docs, chain).collect()] == [0.5] * 6
