@@ -24,7 +24,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_path(spark, name)}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """`df` written as a table in the shared folder and read again: a lost executor costs no earlier stage, and the
     shuffle files behind the table are given back."""
     spark = df.sparkSession
@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

@@ -191,11 +191,11 @@ def test_suffix_tree_distributions_sum_to_one(spark):
 def test_suffix_tree_keeps_rare_contexts_and_equals_brute_force(spark):
     """A context seen twice counts among any number of other words, and scores are those of plain dictionaries."""
     rng = random.Random(4)
-    texts = corpus(rng, 300) + ["zig zag zug"] * 2 + [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40)) for _ in range(200)]
+    texts = corpus(rng, 300) + ["zig zag zug"] * 2 + [f"{a} very much so then {a}" for a in WORDS[:6] for _ in range(40)] + [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40)) for _ in range(200)]
     held = ["zig zag zug", "new zag zug york city", texts[7] + " zig unseen zag zug", ""]
     docs = spark.createDataFrame(list(enumerate(texts + held)), "doc_id long, text string")
     tokens = lambda t: t.lower().split() + [None]
-    n = Counter(tuple(x[i - d:i + 1]) for t in texts for x in [tokens(t)] for i in range(len(x)) for d in range(min(3, i + 1)))
+    n = Counter(tuple(x[i - d:i + 1]) for t in texts for x in [tokens(t)] for i in range(len(x)) for d in range(min(5, i + 1)))
     total, distinct = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
     back, delta = {}, {}
     p0 = lambda w: (n[w,] + 0.5) / (total + 0.5 * (distinct + 1))
@@ -207,7 +207,7 @@ def test_suffix_tree_keeps_rare_contexts_and_equals_brute_force(spark):
             return p(s[1:], w)
         return max(n[*s, w] - 0.75, 0) * (n[*s, w] >= 2) / n[s] + back[s] * p(s[1:], w)
 
-    for d in (1, 2):
+    for d in (1, 2, 3, 4):
         follow = {}
         for g, c in n.items():
             if len(g) == d + 1 and c >= 2:
@@ -219,16 +219,16 @@ def test_suffix_tree_keeps_rare_contexts_and_equals_brute_force(spark):
                 gain += c * (math.log10((c - 0.75) / n[s] + b * p(s[1:], w)) - math.log10(p(s[1:], w)))
             delta[s] = (b, gain > 0.5 * (len(after) + 1) * math.log10(max(n[s], 2)))
         back |= {s: b for s, (b, ok) in delta.items() if ok and len(s) == d}
-    assert ("zig",) in back and any(len(s) == 2 for s in back)
-    want = [sum(math.log10(p(tuple(x[max(0, i - 2):i]), x[i])) for i in range(len(x))) for x in map(tokens, texts + held)]
+    assert ("zig",) in back and any(len(s) == 4 for s in back)
+    want = [sum(math.log10(p(tuple(x[max(0, i - 4):i]), x[i])) for i in range(len(x))) for x in map(tokens, texts + held)]
     for few in ({}, {"p_word": 2.0 ** -5, "p_context": 2.0 ** -5, "p_pair": 2.0 ** -5}, {"p_word": 1.0, "p_context": 1.0, "p_pair": 1.0}):  # what is broadcast changes nothing
-        tree, counts = op6_suffix_tree.train(docs.where(f"doc_id < {len(texts)}"), **few)
+        tree, counts = op6_suffix_tree.train(docs.where(f"doc_id < {len(texts)}"), depth=4, **few)
         got = {r.doc_id: r.score for r in op6_suffix_tree.score(docs, tree, counts).collect()}
         assert max(abs(got[k] - x) for k, x in enumerate(want)) < 1e-6
 
 
 def test_suffix_tree_without_training_or_documents(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b", "x", 1), (2, None, "y", 2)], "doc_id long, text string, block string, sums int")
     tree, counts = op6_suffix_tree.train(docs.where("false"))
     assert {(r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in op6_suffix_tree.score(docs, tree, counts).collect()} == {(1, 3, 0, 0.0), (2, 1, 0, 0.0)}
     tree, counts = op6_suffix_tree.train(docs)
