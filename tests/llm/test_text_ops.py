@@ -184,6 +184,15 @@ def test_rules(spark, docs):
     assert sorted(order) == sorted(op4_rule_cascade.rules())
 
 
+def test_costly_rules_run_late(spark):
+    """Costs are measured well enough to tell a rule that hashes a text 400 times from a comparison, every time."""
+    rows = [(k, f"text {k} " * 50, "clash", "clash") for k in range(200)]
+    sample = op4_rule_cascade.measures(spark.createDataFrame(rows, "doc_id long, text string, c string, time string"))
+    hashed = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda x: F.xxhash64(F.col("text"), x))
+    conditions = {"a_costly": F.size(F.array_distinct(hashed)) < 0, "b_cheap": F.col("n_words") < 20, "c_strict": F.col("n_words") >= 20}
+    assert [op4_rule_cascade.order_rules(sample, conditions) for _ in range(3)] == [["c_strict", "b_cheap", "a_costly"]] * 3
+
+
 def spans_by_brute_force(t: str) -> list[tuple[int, int, int]]:
     assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6]
