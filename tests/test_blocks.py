@@ -1,5 +1,6 @@
 """Block extraction fixtures: expected blocks written out by hand (B2, brace quirks, C heads, B7)."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -116,3 +117,34 @@ def test_running_results_and_a_file_of_very_many_blocks(spark):
     code = "\n\n".join(f"function f{i}(a) {{\n return a; }}" for i in range(200_000))
     b = spark.createDataFrame([(code,)], "c string").select(F.explode(B.blocks_js(F.col("c"))).alias("b"))
     assert tuple(b.agg(F.count("*"), F.max("b.line_start"), F.sum(F.expr("b.line_start % 3")).cast("int")).first()) == (200_000, 599_998, 200_000)
+
+
+def test_jvm_forms_find_the_same_matches(spark):
+    """Random texts of the patterns' own pieces: the matches and names of the backtracking forms."""
+    draw = random.Random(3)
+    pieces = ["public", "private", "internal", "static", "final", "virtual", "override", "class", "function", "throws", "extends", "implements", "A", "foo", "x9", "9", "_b",
+              "List<T>", "[]", " ", " ", "  ", "\n", "\n\t", "(", ")", "(a)", "() {", "{", "}", "{ return; }", "(int a) { b(); }", ",", ";", "="]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(1, 25))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, form in B.JVM_FORM.items():
+        found = lambda p: F.struct(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)).alias(f"g{g}") for g in (0, 1)], F.split("t", p, -1).alias("gaps"))
+        rows = df.select("t", found(pattern).alias("plain"), found(form).alias("form"))
+        assert rows.where("plain <> form").limit(3).collect() == []
+        assert rows.where("size(form.g0) > 0").count() > 5
+
+
+def test_long_indentation_is_no_work(spark):
+    """The backtracking forms take the fourth power of an indentation's length: years for this one."""
+    code = " " * 20000 + "x = 1\n" + " " * 3000 + "int f(int a) {\n g(); h(); i();\n j();\n k(); }\n" + "w" * 20000
+    row = spark.createDataFrame([(code,)], "t string").select(B.blocks_csharp(F.col("t")).alias("c"), B.blocks_java(F.col("t")).alias("j")).first()
+    assert [b["name"] for b in row["c"]] == [b["name"] for b in row["j"]] == ["f"]
+
+
+def test_python_blocks_broadcast_nothing(spark, tmp_path):
+    """Rows made of a small file may be many: none of them pass through the driver."""
+    spark.range(50).selectExpr("id AS path", "concat('class A:', chr(10), '  def f', id, '(self):', chr(10), '    return 1') AS code", "'python' AS language").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    blocks = B.block_rows(files, ["path"])
+    for made in (blocks, B.extraction_summary(files, blocks, ["path"])):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert blocks.count() == 100
