@@ -89,3 +89,21 @@ def test_files_of_a_tree(spark, tmp_path):
     got = sorted(map(tuple, A.read_files(spark, str(tmp_path), "*.py").collect()))
     assert got == [("a.py", 5, "utf-8", "x = 1"), ("sub/c.py", 4, "latin-1", "café"), ("sub/deep/b.py", 2, "utf-8", "é")]
     assert sorted(r.path for r in A.read_files(spark, f"file://{tmp_path}/", strict_utf8=True).collect()) == ["a.py", "sub/d.txt", "sub/deep/b.py"]
+
+
+def test_a_frequent_term_is_dealt_to_several_tasks(spark, tmp_path):
+    """M4: the postings of a word that all files hold aren't one task's."""
+    from copyhound.plans import catalog
+
+    catalog.load_all()
+    spark.range(400).selectExpr("id AS p_partkey", "'red ring' AS p_name", "cast(id AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "X")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"  # so small a table would be put together again
+    spark.conf.set(merged, "false")
+    try:
+        rows = catalog.QUERIES["m4_inverted_index"](spark, str(tmp_path)).where("term = 'return' and language = 'python'")
+    finally:
+        spark.conf.set(merged, "true")
+    assert rows.count() == 400
+    assert rows.select(F.input_file_name().alias("f")).distinct().count() > 1
