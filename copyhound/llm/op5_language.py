@@ -23,6 +23,8 @@ BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Bytes of text that a worker takes at once: its arrays take about fifty times as much.
+BLOCK_BYTES = 512 << 10
 _MARK, _LETTER = 1, 2
 _SEED = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1) for n in range(1, 9)}
 
@@ -96,7 +98,7 @@ def train(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = 0.5) -> L
         totals: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for batch in batches:
-            for i, j, data, off in B.text_blocks(batch.column(1)):
+            for i, j, data, off in B.text_blocks(batch.column(1), BLOCK_BYTES):
                 langs = batch.column(0).slice(i, j - i).to_pylist()
                 names = sorted(set(langs))
                 number = np.array([names.index(x) for x in langs])
@@ -146,7 +148,7 @@ def predict(docs: DataFrame, model: LanguageModel, bits: int = BUCKET_BITS) -> D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for i, j, data, off in B.text_blocks(batch.column(at)):
+            for i, j, data, off in B.text_blocks(batch.column(at), BLOCK_BYTES):
                 code, bounds = code_points(data, off)
                 total = np.tile(m.log_prior, (j - i, 1))
                 letters = B.per_row((letter_table()[code] == _LETTER).astype(np.int64), bounds)
