@@ -148,3 +148,14 @@ def test_python_blocks_broadcast_nothing(spark, tmp_path):
     for made in (blocks, B.extraction_summary(files, blocks, ["path"])):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert blocks.count() == 100
+
+
+def test_balanced_blocks_look_for_the_enclosing_class_in_one_join(spark):
+    js = "class A {\n  run(n) { return n; }\n}\nclass B {\n  class C {\n    go(n) { return n; }\n  }\n}\nfunction f(a) {}\n"
+    df = spark.createDataFrame([(1, "javascript", js), (2, "javascript", "} function g() {} } class D { stop() {} }")], "id int, language string, clean string")
+    found = B.balanced_blocks(df, ["id"])
+    assert sorted((r.id, r.block_type, r.name, r.line_start) for r in found.collect()) == [
+        (1, "class", "A", 1), (1, "class", "B", 4), (1, "class", "C", 5), (1, "function", "f", 9), (1, "method", "A.run", 2), (1, "method", "C.go", 6),
+        (2, "class", "D", 1), (2, "function", "g", 1), (2, "method", "D.stop", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join LeftOuter") == 1
