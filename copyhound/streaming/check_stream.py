@@ -19,10 +19,12 @@ from copyhound.session import scratch_path
 from copyhound.sources.tables import read_table
 
 
-def check_stream(spark: SparkSession, sf_dir: str, files: int = 4, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
-    """`documents` land as several files; each trigger takes one."""
+def check_stream(spark: SparkSession, sf_dir: str, arrivals: int = 4, cfg: C.CheckConfig = C.CheckConfig()) -> DataFrame:
+    """`documents` land as files, one for each core and arrival; each trigger takes as many as there are cores, since a
+    file of a few megabytes is one task."""
     home = scratch_path(spark, f"stream/check_{uuid.uuid4().hex[:8]}")
-    read_table(spark, sf_dir, "documents").select("doc_id", "text").repartition(files, "doc_id").write.parquet(f"{home}/landed")
+    cores = spark.sparkContext.defaultParallelism
+    read_table(spark, sf_dir, "documents").select("doc_id", "text").repartition(arrivals * cores, "doc_id").write.parquet(f"{home}/landed")
     passages = read_table(spark, sf_dir, "benchmark").select("item_id", T.normalize_generic("text").alias("norm"))
     gram_profile(passages, "item_id", "norm", cfg.gram_k, "word", "c2", "right_grams").write.parquet(f"{home}/profile")
     profile = spark.read.parquet(f"{home}/profile")
@@ -32,7 +34,7 @@ def check_stream(spark: SparkSession, sf_dir: str, files: int = 4, cfg: C.CheckC
 
     schema = spark.read.parquet(f"{home}/landed").schema
     result = copied_from(spark.createDataFrame([], schema), profile, cfg).schema
-    query = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/landed")
+    query = (spark.readStream.schema(schema).option("maxFilesPerTrigger", cores).parquet(f"{home}/landed")
              .writeStream.foreachBatch(score).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(result).parquet(f"{home}/matches/*")
