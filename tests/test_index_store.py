@@ -35,6 +35,15 @@ def test_changes_give_what_a_rebuilt_index_has(spark):
     assert postings(index.live()) == postings(L.build_term_index(rows(spark, ("a", "a4", 8), ("b", "y b2", 5), ("c", "again", 6))))
 
 
+def test_parts_of_names_are_searched_for_only_in_texts_that_have_any(spark):
+    texts = ["plain x1 1abc", "a.b.c x..y .d e. 1.f2", "$ $a b$1c d$$e", "m.n$o.p q", "", None]
+    df = spark.createDataFrame([(str(i), "python", t, i) for i, t in enumerate(texts)], SCHEMA)
+    want = sorted({(term, "python", str(i), i) for i, t in enumerate(texts) for p in (L.TOKEN, *L.PARTS) for term in re.findall(p, t or "")})
+    got = L.build_term_index(df)
+    assert postings(got) == want
+    assert "contains" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_lookup_does_not_move_the_postings(spark):
     index = StoredIndex(spark, buckets=4)
     index.change(rows(spark, *[(f"f{i}", f"common t{i % 7}", i) for i in range(200)]))
