@@ -40,3 +40,19 @@ def test_decode_utf8_else_latin1(spark):
     df = spark.createDataFrame([(bytearray("café".encode()),), (bytearray(b"caf\xe9"),)], "content binary")
     got = [tuple(r) for r in df.select(A.decode_text("content"), A.encoding("content")).collect()]
     assert got == [("café", "utf-8"), ("café", "latin-1")]
+
+
+def test_a_wide_tree_is_listed_in_few_tasks(spark, tmp_path):
+    for j in range(150):
+        (tmp_path / f"a={j % 2}" / f"b={j}").mkdir(parents=True)
+        (tmp_path / f"a={j % 2}" / f"b={j}" / "f.txt").write_text(f"text {j}")
+    group = "listing-test"
+    before = spark.conf.get(A.LISTING_TASKS)
+    spark.sparkContext.setJobGroup(group, "listing")
+    files = A.read_files(spark, str(tmp_path), "*.txt")  # loading lists the tree
+    tracker = spark.sparkContext.statusTracker()
+    sizes = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("other", "")
+    assert sizes and max(sizes) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(A.LISTING_TASKS) == before
+    assert sorted(r.text for r in files.collect()) == sorted(f"text {j}" for j in range(150))
